@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, html_text
+from loomspan.llm import chat, html_text, langid, pii
 
 
 def queries():
-    return {"op7_text_density": html_text.op7_text_density, "op10_chat_format": chat.op10_chat_format}
+    return {"op1_pii_semicrf": pii.op1_pii_semicrf, "op6_hd_langid": langid.op6_hd_langid, "op7_text_density": html_text.op7_text_density, "op10_chat_format": chat.op10_chat_format}
 
 
 def oracle_sql():
