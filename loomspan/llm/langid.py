@@ -29,7 +29,7 @@ LEARN_PER_LANG = 2000
 #: More languages than this are refused: their profiles are sent to every task.
 MAX_LANGS = 1000
 _SEED = 20240611
-_BLOCK_DOCS, _BLOCK_GRAMS = 64, 1 << 21
+_BLOCK_DOCS, _BLOCK_GRAMS = 128, 1 << 21
 _SCALE = 1 << 24
 
 

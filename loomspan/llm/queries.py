@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, html_text, langid, pii
+from loomspan.llm import chat, html_text, langid, pii, quality
 
 
 def queries():
-    return {"op1_pii_semicrf": pii.op1_pii_semicrf, "op6_hd_langid": langid.op6_hd_langid, "op7_text_density": html_text.op7_text_density, "op10_chat_format": chat.op10_chat_format}
+    return {"op1_pii_semicrf": pii.op1_pii_semicrf, "op3_quality_cascade": quality.op3_quality_cascade, "op6_hd_langid": langid.op6_hd_langid, "op7_text_density": html_text.op7_text_density, "op10_chat_format": chat.op10_chat_format}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_quality_cascade": quality.OP3_SQL}
