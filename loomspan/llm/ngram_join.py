@@ -307,7 +307,8 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> Data
     one = members.join(sizes.where("blocks > 1"), "grp", "left_anti").select("doc_id", "grp", F.lit(0).alias("i"), F.lit(0).alias("j"))
     many = members.join(sizes.where("blocks > 1"), "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     many = many.select("doc_id", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("doc_id", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    placed = one.unionByName(many).join(known, "doc_id")
+    # A merge join at every size: the ids in classes grow with the corpus and are never broadcast.
+    placed = one.unionByName(many).join(known.hint("merge"), "doc_id")
     links = placed.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id").mapInArrow(_joiner(words, limit), "src long, dst long")
     groups = connected_components(links)
     out = reps.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
