@@ -1,7 +1,7 @@
 """Token ids in training order: fixed-stride binary shards, ordered by a keyed permutation.
 
 1. Each task encodes its documents in order, an end mark after each, and cuts the stream into
-   sequences of ``stride`` ids; the last one of a task is padded. Sequences are written.
+   sequences of ``stride`` ids; the last one of a task is padded. A first job only counts them.
 2. Sequences are numbered 0 to N - 1: those of earlier tasks come first.
 3. A Feistel network over the least domain of an even number of bits that holds N, keyed,
    walks from each number until it is below N again: a bijection, so every sequence has a slot
@@ -17,7 +17,9 @@ in UTF-8) and ``RankEncoder`` (a byte-level BPE rank file by path).
 
 Defined cases: a null or empty text is its end mark alone; texts of any length go on over
 sequences; repeated rows are each written; an empty table makes no shard and no rows; other
-columns are ignored. The same files in the same partitions give the same sequences.
+columns are ignored. Texts are encoded twice rather than stored in between, so docs must give
+the same rows in the same partitions each time, as a table that is read does; the writers
+check that every slot is there once.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,13 +115,22 @@ SEQUENCES = "part int, k long, n_tokens long, n_docs long, first_doc long, ids b
 PLACES = "slot long, shard long, offset long, n_tokens long, n_docs long, first_doc long, crc long"
 
 
+def _counter(encoder, stride: int):
+    """(part, n): how many sequences a task's documents make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(len(encoder.ids(text or "")) + 1 for batch in batches for text in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // stride)], pa.int64())], names=["part", "n"])
+
+    return run
+
+
 def _cutter(encoder, stride: int):
-    """Sequences of a task's documents. n_docs: documents that begin in it; first_doc: the one it begins with or inside."""
+    """Sequences of a task's documents, compressed. n_docs: documents that begin in it; first_doc: the one it begins with or inside."""
     names, types = [x.split()[0] for x in SEQUENCES.split(", ")], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        part, k = context.partitionId() if context else 0, 0
+        part, k, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1).compress
         held = np.full(stride, encoder.pad, encoder.dtype)
         used, begun, first, rows, end = 0, 0, None, [], np.array([encoder.end], encoder.dtype)
 
@@ -138,13 +150,13 @@ def _cutter(encoder, stride: int):
                     held[used : used + take] = ids[at : at + take]
                     used, at = used + take, at + take
                     if used == stride:
-                        rows.append((part, k, stride, begun, first, held.tobytes()))
+                        rows.append((part, k, stride, begun, first, pack(held.tobytes())))
                         k, used, begun = k + 1, 0, 0
                         if len(rows) == 1024:
                             yield emit()
         if used:
             held[used:] = encoder.pad
-            rows.append((part, k, used, begun, first, held.tobytes()))
+            rows.append((part, k, used, begun, first, pack(held.tobytes())))
         if rows:
             yield emit()
 
@@ -167,7 +179,7 @@ def _writer(folder: str, shard_rows: int, record: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        now, out, temporary = None, None, ""
+        now, out, temporary, unpack = None, None, "", zstandard.ZstdDecompressor().decompress
 
         def close():
             out.close()
@@ -182,6 +194,7 @@ def _writer(folder: str, shard_rows: int, record: int):
                         close()
                     now, temporary = shard, f"{root}/.{_name(shard)}.{uuid.uuid4().hex}"
                     out, expected = fs.open_output_stream(temporary), shard * shard_rows
+                ids = unpack(ids)
                 if slot != expected or len(ids) != record:
                     raise ValueError(f"slot {slot} where {expected} was due")
                 out.write(ids)
@@ -203,8 +216,8 @@ def materialise(docs: DataFrame, folder: str, encoder=ByteEncoder(), stride: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = written(rows.mapInArrow(_cutter(encoder, stride), SEQUENCES), "cut")
-    parts = written(cut.groupBy("part").agg(F.count("*").alias("n")), "parts")  # one row for each task of the first step
+    cut = rows.mapInArrow(_cutter(encoder, stride), SEQUENCES)
+    parts = written(rows.mapInArrow(_counter(encoder, stride), "part int, n long"), "parts")  # a row for each task
     n = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
     record = stride * np.dtype(encoder.dtype).itemsize
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
