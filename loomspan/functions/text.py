@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 # White space as Unicode has it, characters without width, sentence ends.
 SPACE = r"[\x09-\x0D\x20\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 NO_WIDTH = r"[\u200B-\u200D\u2060\uFEFF]"
 END = "[.!?\u3002\uFF01\uFF1F]"
 WORD = r"[\p{L}\p{N}_]"
+_MAPPED = StructType().add("text", StringType()).add("starts", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
 _DOT, _CUT, _GAP = "\x04", "\x03", "\x05"
 
 
@@ -34,7 +36,7 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, f"{SPACE}+", " "), "^ | $", "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def squeezed_nfkc(texts: pd.Series) -> pd.Series:
     """``squeezed`` after NFKC; for texts with compatibility forms (ASCII texts need none)."""
     space, none = re.compile(f"{SPACE}+"), re.compile(NO_WIDTH)
@@ -50,7 +52,7 @@ def levelled(text: Column) -> Column:
     return F.translate(F.lower(F.translate(text, "\u0130", "I")), odd, " " * len(odd))
 
 
-@pandas_udf("text string, starts array<int>, ends array<int>")
+@pandas_udf(_MAPPED)
 def levelled_with_map(texts: pd.Series) -> pd.DataFrame:
     """Each character's NFKC in lower case, line ends as line feeds, other spaces as spaces, and
     no characters without width; starts and ends give each new character's place in the text."""
@@ -121,8 +123,8 @@ def windows(text: Column, found: Column) -> Column:
     and after are where the guard's wider scopes begin and end.
     """
 
-    def around(s: Column, i: Column) -> Column:
-        other = lambda d: F.when(F.get(found, i + d)["par"] == s["par"], F.get(found, i + d))
+    def around(xs: Column, s: Column, i: Column) -> Column:
+        other = lambda d: F.when(F.get(xs, i + d)["par"] == s["par"], F.get(xs, i + d))
         single = F.struct(
             F.lit(False).alias("pair"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), (s["end"] - s["start"]).alias("cut"),
             other(-1)["start"].alias("before"), other(1)["end"].alias("after"),
@@ -133,8 +135,12 @@ def windows(text: Column, found: Column) -> Column:
         )
         return F.filter(F.array(single, both), lambda w: w["end"].isNotNull())
 
-    flat = F.flatten(F.transform(found, around))
-    return F.transform(flat, lambda w, i: F.struct(i.alias("idx"), *(w[c].alias(c) for c in ("pair", "text", "start", "end", "cut", "before", "after"))))
+    def every(xs: Column) -> Column:
+        flat = F.flatten(F.transform(xs, lambda s, i: around(xs, s, i)))
+        return F.transform(flat, lambda w, i: F.struct(i.alias("idx"), *(w[c].alias(c) for c in ("pair", "text", "start", "end", "cut", "before", "after"))))
+
+    # Bound once: a filter that is pushed below may otherwise evaluate it for each sentence.
+    return let(found, every)
 
 
 # ---- patterns ----------------------------------------------------------------------------

@@ -5,16 +5,160 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.functions import text as T
+from loomspan.operators import matching, privacy
+from loomspan.operators.rules import DEMO_PACK, DEMO_RULES, Policy
+from loomspan.plans import data_queries
+from loomspan.plans import matching_sql as S
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.analyze(_texts(spark, sf_dir), DEMO_RULES, Policy(), DEMO_PACK)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the scoring plan lands: the documents' lengths."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    """Final score, grade, status and speech act of every document."""
+    first = F.get("matches", F.lit(0))["rule_id"]
+    return _analyzed(spark, sf_dir).select("doc_id", F.size("matches").cast("long").alias("n_matches"), first.alias("primary_rule"), "dominant_floor", "final_score", "grade", "status", "speech_act")
+
+
+def normalize_ws_lower(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", T.squeezed(F.col("text")).alias("normalized"))
+
+
+def text_fingerprint(spark, sf_dir):
+    cut = F.substring("text", 1, privacy.MAX_CHARS)
+    return _texts(spark, sf_dir).select("doc_id", T.fingerprint(F.col("text")).alias("sha256"), cut.alias("head"), T.utf16_length(F.col("text")).cast("long").alias("units"))
+
+
+def sentence_split(spark, sf_dir):
+    found = _texts(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(T.levelled(F.col("text")))).alias("sid", "s")).where("sid IS NOT NULL")
+    return found.select("doc_id", "sid", F.col("s.start").alias("st"), F.col("s.end").alias("en"), F.col("s.par").alias("par"), F.col("s.text").alias("sentence"))
+
+
+def adjacent_windows(spark, sf_dir):
+    found = matching.with_windows(_texts(spark, sf_dir)).select("doc_id", F.explode_outer("_windows").alias("w")).where("w IS NOT NULL")
+    return found.select("doc_id", F.col("w.idx").alias("idx"), F.col("w.pair").alias("pair"), F.col("w.start").alias("st"), F.col("w.end").alias("en"), F.length("w.text").alias("n_chars"))
+
+
+def pattern_hits(spark, sf_dir):
+    """Hits of two rules' triggers in every sentence."""
+    rules = [r for r in matching.usable(DEMO_RULES) if r.id in ("risk_free_is", "risk_on_was")]
+    found = matching.with_windows(_texts(spark, sf_dir)).select("doc_id", F.explode_outer(F.filter("_windows", lambda w: ~w["pair"])).alias("w")).where("w IS NOT NULL")
+    out = None
+    for r in rules:
+        patterns = r.regexes("trigger", DEMO_PACK)
+        hits = found.where(F.col("w.text").rlike(matching.any_of(patterns))).select("doc_id", F.lit(r.id).alias("rule_id"), F.col("w.idx").alias("idx"), F.explode(matching.role_hits(F.col("w.text"), patterns)).alias("h"))
+        hits = hits.select("doc_id", "rule_id", "idx", F.col("h.pattern").alias("pattern"), F.col("h.start").alias("hs"), F.col("h.end").alias("he"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def combination_candidates(spark, sf_dir):
+    """All combinations within distance that no exclusion or guard drops."""
+    rules = matching.usable(DEMO_RULES)
+    names = F.array(*(F.lit(r.id) for r in rules))
+    found = matching.with_candidates(_texts(spark, sf_dir), rules, DEMO_PACK).select("doc_id", F.explode_outer("_candidates").alias("c")).where("c IS NOT NULL")
+    return found.select("doc_id", names[F.col("c.rule")].alias("rule_id"), *(F.col(f"c.{a}").alias(b) for a, b in (("gap", "gap"), ("envelope", "envelope"), ("start", "start"), ("end", "end_at"), ("trigger", "trigger"), ("context", "context"), ("window", "window_no"))))
+
+
+def best_matches(spark, sf_dir):
+    found = matching.find_matches(_texts(spark, sf_dir), DEMO_RULES, DEMO_PACK).select("doc_id", F.posexplode_outer("matches").alias("k", "m")).where("k IS NOT NULL")
+    fields = ("rule_id", "category", "score", "gap", "envelope", "trigger", "context", "start", "t_start", "t_end", "c_start", "c_end", "s_start", "s_end")
+    return found.select("doc_id", (F.col("k") + 1).cast("long").alias("rank"), *(F.col(f"m.{f}").alias(f) for f in fields))
+
+
+def category_scores(spark, sf_dir):
+    found = _analyzed(spark, sf_dir).select("doc_id", F.explode_outer("category_scores").alias("c")).where("c IS NOT NULL")
+    return found.select("doc_id", F.col("c.category").alias("category"), F.col("c.score").alias("score"), F.array_join("c.rule_ids", "|").alias("rule_ids"))
+
+
+def grade_distribution(spark, sf_dir):
+    return flagship(spark, sf_dir).groupBy("grade", "status").agg(F.count("*").alias("n"), F.round(F.avg("final_score"), 6).alias("mean_score"))
+
+
+def highlight_segments(spark, sf_dir):
+    first = F.get("matches", F.lit(0))
+    found = matching.find_matches(_texts(spark, sf_dir), DEMO_RULES, DEMO_PACK)
+    segments = F.when(F.size("matches") > 0, matching.highlight(F.col("text"), matching.evidence_of(first)))
+    found = found.select("doc_id", F.posexplode_outer(segments).alias("k", "h")).where("k IS NOT NULL")
+    return found.select("doc_id", F.col("k").cast("long").alias("k"), F.col("h.start").alias("st"), F.col("h.end").alias("en"), F.col("h.role").alias("role"), F.col("h.text").alias("segment"))
+
+
+_SIMPLE = tuple(x for x in privacy.MASK_PATTERNS if x[0] in ("email", "address"))
+
+
+def mask_ranges_merged(spark, sf_dir):
+    found = _texts(spark, sf_dir).withColumn("_r", privacy.mask_ranges(F.col("text"), _SIMPLE))
+    return found.select("doc_id", F.size("_r").cast("long").alias("n_ranges"), privacy.masked(F.col("text"), F.col("_r")).alias("masked"))
+
+
+def mask_pii_prepared(spark, sf_dir):
+    """All kinds of ranges over the first characters; rows alone are checked, as RE2 has no look-around."""
+    return privacy.prepare(_texts(spark, sf_dir)).select("doc_id", "input_hash", "model_text", F.size("mask_ranges").alias("n_ranges"), "is_masked", "is_cut")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = {
+        "final_scores": flagship,
+        "normalize_ws_lower": normalize_ws_lower,
+        "text_fingerprint": text_fingerprint,
+        "sentence_split": sentence_split,
+        "adjacent_windows": adjacent_windows,
+        "pattern_hits": pattern_hits,
+        "combination_candidates": combination_candidates,
+        "best_matches": best_matches,
+        "category_scores": category_scores,
+        "grade_distribution": grade_distribution,
+        "highlight_segments": highlight_segments,
+        "mask_ranges_merged": mask_ranges_merged,
+        "mask_pii_prepared": mask_pii_prepared,
+    }
+    return own | data_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    matched = (S.SENTENCES, S.WINDOWS, S.hits_sql(), S.candidates_sql(), S.matches_sql())
+    scored = (*matched, S.scores_sql())
+    mask = lambda x: f"regexp_replace({x}, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}|(?-i)[0-9]{{1,5}} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane)', chr(2), 'g')"
+    found = lambda x: f"regexp_extract_all({x}, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}|(?-i)[0-9]{{1,5}} [A-Z][a-z]+ (?:Street|Road|Avenue|Lane)')"
+    return {
+        "final_scores": S.chain(*scored) + " SELECT * FROM scored",
+        "normalize_ws_lower": f"SELECT doc_id, {S.squeezed('text')} AS normalized FROM documents",
+        "text_fingerprint": f"SELECT doc_id, sha256(text) AS sha256, substring(text, 1, {privacy.MAX_CHARS}) AS head, length(text)::BIGINT AS units FROM documents",
+        "sentence_split": S.chain(S.SENTENCES) + " SELECT doc_id, sid, st, en, par, s AS sentence FROM sent",
+        "adjacent_windows": S.chain(S.SENTENCES, S.WINDOWS) + " SELECT doc_id, idx, pair, st, en, length(wt)::INT AS n_chars FROM win",
+        "pattern_hits": S.chain(S.SENTENCES, S.WINDOWS, S.hits_sql()) + " SELECT doc_id, rule_id, idx, pattern, hs, he FROM hit WHERE role = 'trigger' AND rule_id IN ('risk_free_is', 'risk_on_was')",
+        "combination_candidates": S.chain(*matched[:4]) + f" SELECT doc_id, rule_id, gap, envelope, start, end_at, trigger, context, window_no FROM cand c WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = c.doc_id AND c.rule_id IN ('risk_and_this', 'risk_with_for') AND regexp_matches({S.squeezed('x.text')}, '{DEMO_PACK.bare_amount}') AND NOT regexp_matches({S.squeezed('x.text')}, '{DEMO_PACK.sparing}'))",
+        "best_matches": S.chain(*matched) + " SELECT doc_id, rank, rule_id, category, score, gap, envelope, trigger, context, start, t_start, t_end, c_start, c_end, s_start, s_end FROM m",
+        "category_scores": S.chain(*scored) + " SELECT doc_id, category, score, rule_ids FROM cat",
+        "grade_distribution": S.chain(*scored) + " SELECT grade, status, count(*) AS n, round(avg(final_score), 6) AS mean_score FROM scored GROUP BY grade, status",
+        "highlight_segments": S.chain(*matched) + _HIGHLIGHT,
+        "mask_ranges_merged": f"""
+SELECT doc_id, len({found('text')})::BIGINT AS n_ranges,
+       array_to_string(list_transform(range(1, len(string_split({mask('text')}, chr(2))) + 1), lambda i: string_split({mask('text')}, chr(2))[i] || repeat('●', coalesce(length({found('text')}[i]), 0)::INT)), '') AS masked
+FROM documents""",
+    } | data_queries.oracle_sql()
+
+
+_HIGHLIGHT = """,
+ev AS (SELECT doc_id, t_start AS a, t_end AS b, 'trigger' AS role FROM m WHERE rank = 1 UNION ALL SELECT doc_id, c_start, c_end, 'context' FROM m WHERE rank = 1
+       UNION ALL SELECT doc_id, s_start, s_end, 'context' FROM m WHERE rank = 1 AND s_start IS NOT NULL),
+pt AS (SELECT doc_id, a AS x FROM ev UNION SELECT doc_id, b FROM ev UNION SELECT doc_id, 0 FROM ev UNION SELECT e.doc_id, length(t) FROM ev e JOIN d ON d.doc_id = e.doc_id),
+sgm AS (SELECT doc_id, x AS a, lead(x) OVER (PARTITION BY doc_id ORDER BY x) AS b FROM pt),
+rl AS (SELECT s.doc_id, s.a, s.b, CASE WHEN bool_or(e.role = 'trigger') AND bool_or(e.role = 'context') THEN 'both' ELSE coalesce(max(e.role), 'plain') END AS role
+       FROM sgm s LEFT JOIN ev e ON e.doc_id = s.doc_id AND e.a < s.b AND e.b > s.a WHERE s.b IS NOT NULL GROUP BY s.doc_id, s.a, s.b),
+nv AS (SELECT *, lag(role) OVER (PARTITION BY doc_id ORDER BY a) IS DISTINCT FROM role AS fresh FROM rl),
+nw AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY a) AS isle FROM nv),
+hl AS (SELECT doc_id, isle, role, min(a)::INT AS st, max(b)::INT AS en FROM nw GROUP BY doc_id, isle, role)
+SELECT h.doc_id, (isle - 1)::BIGINT AS k, st, en, role, substring(x.text, st + 1, en - st) AS segment FROM hl h JOIN documents x ON x.doc_id = h.doc_id"""
