@@ -30,7 +30,7 @@ def _book(spark, sf_dir):
 
 
 def _incoming(book):
-    n = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    n = F.regexp_extract("id", "([0-9]+)", 1).cast("long")
     changed = book.withColumns({"revision": F.when(n % 3 == 1, F.col("revision") + 1).otherwise(F.col("revision")), "severity_floor": F.when(n % 3 == 0, F.col("severity_floor")).otherwise(F.col("severity_floor") + 1), "id": F.when(n % 10 == 7, F.concat("id", F.lit("_new"))).otherwise(F.col("id"))})
     return changed.where(n % 2 == 1)
 

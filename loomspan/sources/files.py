@@ -44,9 +44,7 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", BOM, "")) != "")
     lines = lines.select(F.regexp_replace("value", BOM, "").alias("value"), F.monotonically_increasing_id().alias("line_no"))
     parsed = lines.withColumn("r", F.from_json("value", schemas.RULE_INPUT)).select("line_no", (F.trim("value").startswith("{") & F.json_object_keys("value").isNotNull()).alias("is_json"), "r.*")
-    rules = migrated(parsed.drop("line_no", "is_json"))
-    judged = parsed.select("line_no", "is_json").withColumn("_k", F.lit(0))
-    both = _zipped(parsed, judged, rules)
+    both = _with_lines(parsed)
     repeated = F.row_number().over(Window.partitionBy("id").orderBy("line_no")) > 1
     errors = F.when(~F.coalesce("is_json", F.lit(False)), F.array(F.lit("json"))).otherwise(F.array_compact(F.concat(F.array(F.when(~F.col("version_ok"), F.lit("version")), F.when(F.col("_again") & (F.col("id") != ""), F.lit("repeated_id"))), rule_errors())))
     checked = both.withColumn("_again", repeated).withColumn("errors", errors)
@@ -54,20 +52,12 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, checked.where(F.size("errors") > 0).select("line_no", "id", "errors")
 
 
-def _zipped(parsed: DataFrame, judged: DataFrame, rules: DataFrame) -> DataFrame:
-    """The migrated rule beside its line: the same projection, so no join."""
-    names = rules.columns
-    inside = migrated(parsed)
-    assert inside.columns == names
-    return _keep(parsed, names)
-
-
-def _keep(parsed: DataFrame, names: list[str]) -> DataFrame:
-    carried = parsed.withColumn("memo", F.to_json(F.struct(F.col("memo"), F.col("line_no"), F.col("is_json"))))
-    out = migrated(carried)
-    kept = F.from_json("memo", "memo string, line_no long, is_json boolean")
-    out = out.withColumn("_m", kept).withColumns({"line_no": F.col("_m.line_no"), "is_json": F.col("_m.is_json"), "memo": F.coalesce("_m.memo", F.lit(""))})
-    return out.select(*names, "line_no", "is_json")
+def _with_lines(parsed: DataFrame) -> DataFrame:
+    """The migrated rules with line_no and is_json, carried through the projection in memo: no join."""
+    carried = parsed.withColumn("memo", F.to_json(F.struct("memo", "line_no", "is_json")))
+    out = migrated(carried).withColumn("_m", F.from_json("memo", "memo string, line_no long, is_json boolean"))
+    out = out.withColumns({"line_no": F.col("_m.line_no"), "is_json": F.col("_m.is_json"), "memo": F.coalesce("_m.memo", F.lit(""))})
+    return out.drop("_m")
 
 
 def read_policy(spark: SparkSession, path: str) -> tuple[Policy, list[str]]:
