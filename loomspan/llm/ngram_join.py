@@ -44,6 +44,9 @@ _CHUNK, _OFTEN = 1 << 22, 3
 MAX_COMMON, MIN_COMMON = 1 << 17, 16
 #: A block of a class has about so many documents and n-grams at most.
 BLOCK_DOCS, BLOCK_GRAMS = 4096, 1 << 22
+#: Keys are dealt in so many ranges at least. An edge is found once in each range where two documents
+#: share keys: with many ranges at every size that number follows the keys, and so the input.
+RANGES = 1024
 
 
 def gram_set(text: bytes | None, n: int) -> np.ndarray:
@@ -285,7 +288,7 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> Data
     often = survey.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= MIN_COMMON).orderBy(F.desc("times"), "gram").limit(MAX_COMMON)
     common = spark.sparkContext.broadcast(np.sort(np.array(often.select("gram").toArrow().column(0).to_numpy(), np.int64).view(np.uint64)))
 
-    ranges = slices(spark)
+    ranges = max(RANGES, slices(spark))
     known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     packed = written(known.mapInArrow(_keys(words, limit, common, ranges), "part int, packed binary, src long, dst long"), "keys")
     inside = packed.where("src IS NOT NULL").select("src", "dst")
