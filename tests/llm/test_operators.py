@@ -1,0 +1,189 @@
+"""The ten operators on small fixtures: brute force, round trips, and the defined cases."""
+
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomspan.llm import chat, embed_dedup, html_text, langid, materialise, mixing, ngram_join, packing, pii, quality
+from loomspan.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, letters="abcdefgh"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        text = words(rng, rng.randint(3, 60), "abcdef" if k % 2 else "uvwxyz")
+        rows.append((k, text, "aa" if k % 2 else "uu", f"s{k % 3}", len(text)))
+    base = words(rng, 120)
+    rows += [(100, base, "aa", "s0", 1), (101, base, "aa", "s0", 1), (102, base + " end", "aa", "s0", 1), (103, "start " + base, None, None, 1)]
+    rows += [(110, None, None, None, None), (111, "", "aa", "s1", 0), (112, " \n\t", "aa", "s1", 3), (113, words(rng, 9000), "aa", "s1", 1), (114, "12 34", "uu", "s2", 5), (114, "12 34", "uu", "s2", 5)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_bounds_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(30):
+        hist = {x: rng.randint(1, 9) for x in rng.sample(range(40), rng.randint(1, 9))}
+        k = rng.randint(1, 4)
+
+        def padding(bounds, hist=hist):
+            return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in hist.items())
+
+        best = min(padding([*c, max(hist)]) for m in range(k) for c in itertools.combinations(sorted(hist)[:-1], m))
+        got = packing.optimal_bounds(hist, k)
+        assert len(got) <= k and padding(got) == best
+    assert packing.optimal_bounds({}, 3) == []
+
+
+def test_packing_is_whole(spark, docs):
+    out = packing.pack(docs, max_tokens=50, buckets=3, budget=200)
+    rows = out.collect()
+    assert out.columns == [*docs.columns, "piece", "n_tokens", "bucket", "batch", "slot"]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for doc in (0, 100, 113, 110, 111, 112):
+        pieces = sorted((r["piece"], r["text"]) for r in rows if r["doc_id"] == doc)
+        assert texts[doc] is None or "".join(t for _, t in pieces) == texts[doc]
+    by_batch = {}
+    for r in rows:
+        assert r["n_tokens"] <= r["bucket"] and r["n_tokens"] <= 50
+        by_batch.setdefault((r["bucket"], r["batch"]), []).append(r["slot"])
+    for (bucket, batch), slots in by_batch.items():
+        size = max(1, 200 // max(1, bucket))
+        assert sorted(slots) == list(range(len(slots))) and len(slots) <= size
+        assert len(slots) == size or (bucket, batch + 1) not in by_batch
+    narrow = packing.pack(docs.select("doc_id", "text"), 50, 3, 200, with_text=False)
+    assert narrow.exceptAll(out.select(narrow.columns)).count() == 0 and narrow.count() == len(rows)
+    assert packing.pack(docs.limit(0), with_text=False).count() == 0
+
+
+def test_permutation_is_a_bijection():
+    for n in (1, 2, 3, 17, 1000):
+        assert sorted(materialise.permuted(np.arange(n), n).tolist()) == list(range(n))
+    assert materialise.permuted(np.arange(1000), 1000).tolist() != materialise.permuted(np.arange(1000), 1000, key=1).tolist()
+
+
+def test_shards_read_back(spark, docs, tmp_path):
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    table, enc = spark.read.parquet(str(tmp_path / "docs")), materialise.ByteEncoder()
+    got = materialise.materialise(table, str(tmp_path / "out"), enc, stride=64).orderBy("slot").collect()
+    n = len(got)
+    assert [r["slot"] for r in got] == list(range(n))
+    every = materialise.read_slots(str(tmp_path / "out"), 0, n + 5)
+    assert every.shape == (n, 64) and (materialise.read_slots(str(tmp_path / "out"), 7, 3) == every[7:10]).all()
+    slots = materialise.permuted(np.arange(n), n)
+    stream = every[slots].reshape(-1)
+    stream = stream[stream != enc.pad]
+    texts = [enc.text(x) for x in np.split(stream, np.flatnonzero(stream == enc.end) + 1)[:-1] for x in [x[:-1]]]
+    assert sorted(texts) == sorted(r["text"] or "" for r in docs.collect())
+    assert materialise.materialise(table.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_mixing(spark, docs):
+    got = mixing.calibrated(docs).collect()
+    assert len(got) == docs.count() and all(0 < r["p"] <= 1 for r in got) and max(r["p"] for r in got) == 1
+    assert mixing.mix(docs).columns == docs.columns and mixing.mix(docs.limit(0)).count() == 0
+    same = mixing.calibrated(docs, {"source": 1.0, "lang": 1.0, "topic": 1.0}).where("p < 0.999999").count()
+    assert same == 0
+    cells = spark.createDataFrame([("a", "x", "t", 90), ("a", "y", "t", 10), ("b", "x", "t", 50), ("b", "y", "t", 50)], "_source string, _lang string, _topic string, tokens long")
+    raked = mixing.rake(cells, {"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}, "topic": 1.0}, max_boost=10).collect()
+    assert abs(sum(r["weight"] for r in raked if r["_source"] == "a") - 0.5) < 1e-6 and abs(sum(r["weight"] for r in raked if r["_lang"] == "x") - 0.75) < 1e-6
+
+
+def test_near_groups_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = {}
+    for doc, text in rows:
+        w = (text or "").lower().split()
+        sets[doc] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    comp = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((comp[a], comp[b]))
+            comp = {d: x if c == y else c for d, c in comp.items()}
+    got = ngram_join.near_groups(docs, 4, "0.85").collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted((d, len(sets[d]), comp[d]) for d, _ in rows)
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns and {100, 101, 102, 103} & {r["doc_id"] for r in kept.collect()} == {100}
+    assert ngram_join.near_groups(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 1)], "src long, dst long")
+    assert sorted((r["id"], r["component"]) for r in connected_components(edges).collect()) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 16))
+    rows = [(k, (base[k % 40] + 0.1 * rng.normal(size=16)).astype(float).tolist()) for k in range(120)]
+    rows += [(500, rows[0][1]), (501, None), (502, [0.0] * 16), (503, [float("nan")] * 16), (504, []), (505, [None] * 16)]
+    got = {r["vec_id"]: r for r in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in rows[:121]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((x @ x.T) >= 0.95).sum(1) - 1
+    found = sum(got[i]["n_links"] for i, _ in rows[:121])
+    assert found >= 0.9 * true.sum() and all(got[i]["n_links"] <= t for (i, _), t in zip(rows[:121], true, strict=True))
+    assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in range(501, 506))
+
+
+def test_pii_patterns_and_mask(spark, docs):
+    text = "x a.b@c.de.fg 1.2.3.4 and 300.1.1.1, 4111 1111 1111 1111 +1 (555) 123-4567 @no a@b"
+    base, spans = pii.find_spans(text, pii.fit())
+    assert [text[a:b] for _, a, b in base] == ["a.b@c.de.fg", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567"] and set(base) <= set(spans)
+    assert pii.find_spans(None, pii.fit()) == ([], []) and pii.masked(text, base).count("[") == 4
+    row = next(r for r in pii.find_pii(docs).collect() if r["doc_id"] == 110)
+    assert row["n_email"] == 0 and row["base_sha256"] == hashlib.sha256(b"").hexdigest() and row["spans"] == ""
+    assert pii.mask_pii(docs).columns == docs.columns and pii.mask_pii(docs.limit(0)).count() == 0
+
+
+def test_language(spark, docs):
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert sum(got[k]["lang_pred"] == ("aa" if k % 2 else "uu") for k in range(60)) >= 58
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (110, 111, 112, 114))
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_quality_cascade(spark, docs):
+    rows = quality.keep_good(docs)
+    assert rows.columns == docs.columns and quality.keep_good(docs.limit(0)).count() == 0
+    counted = spark.createDataFrame([("a b c d e f g h a b c d e f g h",), ("a b c d e f g h",), ("",)], "t string").select(quality.repeated_words(quality.words_of(F.col("t"))).alias("n")).collect()
+    assert [r["n"] for r in counted] == [16, 0, 0]
+
+
+def test_html():
+    page = "<html><head><title>T</title><style>x</style></head><body><nav><a href=a>Home</a><a href=b>News</a></nav><article><h1>Big &amp; small</h1><p>One  two\nthree.</p><p>" + "Long text here. " * 20 + "</p></article><div class='comments'><p>Nice post indeed</p></div><footer>(c)</footer></body></html>"
+    got = html_text.main_text(page)
+    assert got.startswith("Big & small\n\nOne two three.\n\nLong") and "Nice" not in got and "Home" not in got
+    assert html_text.main_text(None) == "" == html_text.main_text("")
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "be <s>"), (1, 1, "user", "a\\|b [/INST]"), (1, 2, "assistant", "</s>x"), (2, 0, "user", None), (2, 1, "tool", "[END]"), (None, 0, "user", "q")]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in (1, 2, None):
+        mine = [r for r in rows if r[0] == conv]
+        assert got[conv]["n_turns"] == len(mine) and got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
+    assert got[1]["loss_chars"] == 5 and got[1]["final_state"] == "answered" and got[2]["final_state"] == "invalid"
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, "")
+        assert name == "packing" or out.columns == docs.columns
+        now = out
+    ids = {r["doc_id"] for r in now.collect()}
+    assert not ids & {101, 102, 103, 110, 111, 112, 114}
