@@ -76,8 +76,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 MAX_TOKENS, MAX_CHARS = 16, 96
 _TOKEN = re.compile(r"[A-Za-z0-9]+|\s|[^\sA-Za-z0-9]")
 _ANCHOR = re.compile(r"[0-9]{2}|@|(?i:\bdot\b)")
+_LONG = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{12,}")
 _WORD = re.compile(r"[A-Za-z-]+")
-_MARGIN = 48
+_MARGIN = MAX_CHARS
 # Words before a span, by what they announce.
 _CUES = {
     "phone": frozenset("tel telephone phone call fax mobile cell ring".split()),
@@ -86,15 +87,51 @@ _CUES = {
     "card": frozenset("card visa mastercard amex credit iban".split()),
     "secret": frozenset("password passwd pwd token secret key apikey api-key passphrase".split()),
 }
+# What announces a secret's value, with the sign between; the value starts where the match ends.
+_OPENER = re.compile(
+    r"(?:(?<![A-Za-z])(?i:password|passwd|passphrase|pwd|token|secret|key|(?:api|access|secret|private|auth)[_-]?(?:key|token))|(?<=[a-z])(?:Password|Passphrase|Pwd|Token|Secret|Key))"
+    r"(?:[_-][A-Za-z]+){0,2}[\"']?[ \t]{0,3}(?:=>|:=|={1,2}|:|(?<=[ \t])is(?=[ \t]))[ \t]{0,3}(?P<quote>[\"'`]?)(?=[^\s\"'`])"
+)
+_OPENER_PARTS = ("pass", "pwd", "token", "secret", "key")
+_PASS = re.compile(r"(?i)pass|pwd")
+_VALUE = re.compile(r"\S{1,97}")
+# What issued keys begin with.
+_ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|gh[opsu]_|glpat-|sk[-_]|xox[abp]-|eyJ)[A-Za-z0-9]")
 _SHAPES = (
     "bias", "digits0", "digits1_6", "digits7_9", "digits10_12", "digits13_15", "digits16_19", "digits20", "at_sign", "at_word", "dot_words", "dotted4", "dotted4_ok", "luhn",
     "plus", "paren", "separators_only", "plain_digits", "letters", "one_token", "long_token", "mixed_token", "hex_token", "upper_token", "bad_edge", "glued_left", "glued_right",
-    "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", *(f"cue_{k}" for k in _CUES),
+    "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", "opened", "opened_whole", "opened_pass", "opened_word", "marked", "issued", "caps_word", *(f"cue_{k}" for k in _CUES),
 )
 _AT = {name: k for k, name in enumerate(_SHAPES)}
 
 
-def _features(text: str, start: int, end: int, cues: list[str]) -> np.ndarray:
+def _is_mixed(token: str) -> bool:
+    """A long token that is no word: letters with digits, capitals alone, or capitals inside."""
+    if token.isdigit() or not token.isalpha():
+        return True
+    return len(token) >= 16 and (token.isupper() or len(token) >= 20 and not (token[1:].islower()))
+
+
+def _openers(text: str, at: int = 0, end: int | None = None) -> dict[int, tuple[int, bool]]:
+    """Where announced values start: their end, and whether a password was announced.
+
+    A value goes to its closing quote, or else to white space without the signs that end a clause.
+    """
+    end = len(text) if end is None else end
+    lower = text[at:end].lower()
+    found = {}
+    for m in _OPENER.finditer(text, at, end) if any(x in lower for x in _OPENER_PARTS) else ():
+        start, quote = m.end(), m["quote"]
+        stop = text.find(quote, start, start + MAX_CHARS + 1) if quote else -1
+        if stop < 0 or "\n" in text[start:stop]:
+            stop = _VALUE.match(text, start).end()
+            while stop > start + 1 and text[stop - 1] in "\"'`,.;:)]}":
+                stop -= 1
+        found[start] = (stop, bool(_PASS.search(m[0])))
+    return found
+
+
+def _features(text: str, start: int, end: int, cues: list[str], opener: tuple[int, bool] | None = None) -> np.ndarray:
     s = text[start:end]
     n_digits = sum("0" <= c <= "9" for c in s)
     letters = any(c.isalpha() for c in s)
@@ -137,13 +174,20 @@ def _features(text: str, start: int, end: int, cues: list[str]) -> np.ndarray:
         "tld": bool(re.search(r"(?:\.|dot[ \])}]+)[A-Za-z]{2,6}\Z", s)),
         "iso_date": bool(re.fullmatch(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}.*", s)),
         "short": len(s) < 7,
+        "opened": opener is not None,
+        "opened_whole": opener is not None and opener[0] == end,
+        "opened_pass": opener is not None and opener[1],
+        "opened_word": opener is not None and all(c.isalpha() or c in " '-" for c in s),
+        "marked": not one and any(not c.isalnum() and not c.isspace() for c in s) and letters,
+        "issued": len(s) >= 16 and _ISSUED.match(s) is not None,
+        "caps_word": one and n_digits == 0 and s.isupper(),
     }
     row = np.zeros(len(_SHAPES))
     for name, value in on.items():
         if value:
             row[_AT[name]] = 1
     for kind, words in _CUES.items():
-        if not words.isdisjoint(cues):
+        if not words.isdisjoint(cues) or kind == "secret" and opener is not None:
             row[_AT[f"cue_{kind}"]] = 1
     return row
 
@@ -151,23 +195,34 @@ def _features(text: str, start: int, end: int, cues: list[str]) -> np.ndarray:
 def _lattice(text: str, at: int, end: int, taken: list[tuple[int, int]]):
     """Token edges of text[at:end]; candidate spans (first, last + 1) and their features."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, at, end)]
+    # Every anchor lies in one token; after[i] is the first token from i on that holds one.
+    opened = _openers(text, max(0, at - MAX_CHARS), end)
+    after = [len(tokens)] * (len(tokens) + 1)
+    for i in range(len(tokens) - 1, -1, -1):
+        a, b = tokens[i]
+        after[i] = i if _ANCHOR.search(text, a, b) or b - a >= 12 and _is_mixed(text[a:b]) else after[i + 1]
     spans, rows = [], []
     for i, (start, _) in enumerate(tokens):
-        if not (text[start].isalnum() or text[start] in "+("):
+        opener = opened.get(start)
+        if opener is None and (after[i] >= i + MAX_TOKENS or not (text[start].isalnum() or text[start] in "+(")):
             continue
         cues = None
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
+        # An announced value may have more tokens: any string of signs does.
+        for j in range(i, len(tokens) if opener else min(i + MAX_TOKENS, len(tokens))):
             stop = tokens[j][1]
             if stop - start > MAX_CHARS or text[tokens[j][0]] == "\n":
                 break
-            if not text[stop - 1].isalnum() or any(a < stop and start < b for a, b in taken):
+            whole = opener is not None and stop == opener[0]
+            if opener is not None and j >= i + MAX_TOKENS and not whole:
                 continue
-            if _ANCHOR.search(text, start, stop) is None:
+            if not (text[stop - 1].isalnum() or whole) or any(a < stop and start < b for a, b in taken):
+                continue
+            if after[i] > j and opener is None:
                 continue
             if cues is None:
                 cues = [w.lower() for w in _WORD.findall(text[max(0, start - 24) : start])[-2:]]
             spans.append((i, j + 1))
-            rows.append(_features(text, start, stop, cues))
+            rows.append(_features(text, start, stop, cues, opener))
     return tokens, spans, np.array(rows) if rows else np.zeros((0, len(_SHAPES)))
 
 
@@ -196,7 +251,8 @@ def _decode(n: int, spans: list[tuple[int, int]], scores: np.ndarray) -> list[tu
 
 
 def examples(count: int = 320, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Generated lines with their spans: PII in several forms, and look-alikes without."""
+    """Generated lines with their spans: PII in several forms, and look-alikes without; then half
+    as many lines of announced secrets and of words that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
@@ -222,7 +278,19 @@ def examples(count: int = 320, seed: int = 7) -> list[tuple[str, list[tuple[str,
         "phone": lambda: pick([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{pick(['44', '33', '49'])} {digits(2)} {digits(4)} {digits(4)}"]),
         "secret": lambda: pick(["AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "".join(pick("0123456789abcdef") for _ in range(int(pick([18, 20, 32, 40])))), "sk" + letters(3) + digits(4) + letters(9) + digits(5)]),
     }
+    # Values behind their cue alone, without two adjacent digits; the last two stand without a cue.
+    passwords = [
+        lambda: f"{letters(4).title()}{digits(1)}{letters(4)}{digits(1)}",
+        lambda: f"{letters(3)}{pick('!#$%&*')}{letters(4).title()}{digits(1)}",
+        lambda: f"{pick('$#!')}{letters(5)}{digits(1)}{letters(2).upper()}{pick('!$%')}",
+        lambda: f"{letters(5)}-{letters(6)}-{letters(5)}",
+        lambda: letters(int(rng.integers(8, 15))),
+        lambda: "AKIA" + letters(16).upper(),
+        lambda: "sk" + letters(3) + digits(4) + letters(9) + digits(5),
+    ]
     cue = {"email": ["", "mail ", "contact "], "ip": ["", "host ", "ip "], "card": ["", "card ", "visa "], "phone": ["", "tel ", "call "], "secret": ["", "password=", 'token = "', "key: "]}
+    pass_cue = ["password=", "password: ", 'password = "', "pwd=", "the password is ", "passphrase: "]
+    any_cue = ["token=", 'secret = "', "api_key: ", "key = ", "the secret is "]
     plain = [
         lambda: f"{int(rng.integers(1900, 2030))}",
         lambda: f"{int(rng.integers(1990, 2030))}-{int(rng.integers(10, 13))}-{int(rng.integers(10, 29))}",
@@ -242,18 +310,30 @@ def examples(count: int = 320, seed: int = 7) -> list[tuple[str, list[tuple[str,
         lambda: f"isbn 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
         lambda: f"{letters(6)}-{digits(4)}-{letters(4)}",
     ]
+    unannounced = [
+        lambda: f"{pick(['key: ', 'the key is ', 'secret: ', 'token: ', 'token = ', 'key='])}{words(2)}",
+        lambda: f"the {pick(['password', 'passphrase'])} is {pick(['not', 'too', 'a', 'for', 'in', 'wrong', 'long'])} {words(1)}",
+        lambda: f"{pick(['key', 'token', 'secret'])} {words(2)}",
+        lambda: f"{letters(7).title()}{letters(8).title()}{letters(7).title()}",
+        lambda: letters(int(rng.integers(16, 24))),
+        lambda: letters(int(rng.integers(16, 24))).upper(),
+    ]
     out = []
-    for k in range(count):
+    for k in range(count + count // 2):
         line, spans = words(int(rng.integers(1, 5))) + " ", []
         if k % 2 == 0:
-            kind = KINDS[(k // 2) % len(KINDS)]
-            line += pick(cue[kind])
-            piece = makers[kind]()
-            if re.search(_ANCHOR, piece):
-                spans.append((kind, len(line), len(line) + len(piece)))
+            kind = KINDS[(k // 2) % len(KINDS)] if k < count else "secret"
+            if k >= count:
+                at = (k // 2) % len(passwords)
+                line += "" if at > 4 else pick(pass_cue if at > 2 or rng.integers(2) else any_cue)
+                piece = passwords[at]()
+            else:
+                line += pick(cue[kind])
+                piece = makers[kind]()
+            spans.append((kind, len(line), len(line) + len(piece)))
             line += piece + ('"' if line.endswith('"') else "")
         else:
-            line += pick(plain)()
+            line += pick(plain if k < count else unannounced)()
         line += pick(["", ".", ","]) + " " + words(int(rng.integers(1, 5)))
         out.append((line, spans))
     return out
@@ -298,8 +378,11 @@ def fit(count: int = 320, steps: int = 60, seed: int = 7) -> np.ndarray:
 def _regions(text: str) -> list[tuple[int, int]]:
     """Stretches around what may be part of a span, cut at white space."""
     found: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        at, end = max(0, m.start() - _MARGIN), min(len(text), m.end() + _MARGIN)
+    hits = [(m.start(), m.end()) for m in _ANCHOR.finditer(text)]
+    more = [(m.start(), m.end()) for m in _LONG.finditer(text) if _is_mixed(m[0])]
+    more += [(start, min(stop, start + MAX_CHARS)) for start, (stop, _) in _openers(text).items()]
+    for a, b in sorted(hits + more) if more else hits:
+        at, end = max(0, a - _MARGIN), min(len(text), b + _MARGIN)
         if found and at <= found[-1][1]:
             found[-1][1] = max(found[-1][1], end)
         else:
