@@ -6,7 +6,7 @@ body is the threshold that a wider subtree must meet (Sun, Song, Liao: DOM based
 extraction via text density, SIGIR 2011).
 
 Defined cases: null or empty html gives an empty text; a page without a text gives an empty
-one; unclosed or stray tags are closed or ignored as browsers do; very long pages are read
+one; class and id names are evidence alone (``weigh_marks``); unclosed or stray tags are closed or ignored as browsers do; very long pages are read
 whole; repeated rows each give a row; columns besides the three are ignored.
 """
 
@@ -30,6 +30,7 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
+HEADS = HEADINGS | {"h4", "h5", "h6", "header"}
 #: An opening tag ends an open element of these names, up to the given scope.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -50,6 +51,13 @@ MARKS = frozenset(
     "signup login comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social "
     "toolbar pagination pager widget copyright disclaimer skip".split()
 )
+#: Words that leave a mark's meaning as it is: comment-list, site-footer, relatedPosts.
+NEUTRAL = frozenset(
+    "list lists item items box bar block blocks area container wrapper wrap section inner outer widget panel site page main global top bottom left right header "
+    "links link button buttons icons posts articles stories form primary secondary active js wp ui".split()
+)
+#: Marks that also name a part of an article; with a heading and running text they are one.
+WEAK = frozenset("discussion related recommendation recommendations recommended copyright disclaimer notice notices alert promotion reply social".split())
 KEEP = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
@@ -62,10 +70,10 @@ _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "children", "parent", "outside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "parent", "outside", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, outside: bool):
-        self.name, self.parent, self.outside = name, parent, outside
+    def __init__(self, name: str, parent: Node | None, outside: bool, mark: str = ""):
+        self.name, self.parent, self.outside, self.mark = name, parent, outside, mark
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -80,13 +88,67 @@ def _is_outside(name: str, attrs: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and not MARKS.isdisjoint(x.lower() for x in _SPLIT.split(value)):
-            return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=|/)", attrs, re.I))
 
 
+def _mark(attrs: str) -> str:
+    """"strong" or "weak" if a whole name of class or id is a mark, with neutral words at most."""
+    found = ""
+    for m in _ATTR.finditer(attrs) if attrs else ():
+        if m[1].lower() in ("class", "id"):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = {x.lower() for x in _SPLIT.split(name) if len(x) > 1}
+                marks = parts & MARKS
+                if marks and parts <= MARKS | NEUTRAL:
+                    if not marks <= WEAK:
+                        return "strong"
+                    found = "weak"
+    return found
+
+
+def weigh_marks(root: Node) -> None:
+    """Puts outside what is marked, unless the mark is outweighed.
+
+    A mark does not count on a node that holds the page's article or main element (itself in no
+    article) or most of its text without links, as long as no other article or main stands outside
+    of all marks; a weak one does not count on a part with its own heading and mostly running text.
+    """
+    order, stack, free, marked = [], [(root, False, False)], [], []
+    while stack:
+        node, below, linked = stack.pop()
+        linked = linked or node.name == "a"
+        order.append((node, linked))
+        if node.name in ("article", "main"):
+            if not below and not node.mark:
+                free.append(node)
+        elif node.mark and node.name not in KEEP:
+            marked.append(node)
+            below = True
+        stack.extend((c, below, linked) for c in node.children if not isinstance(c, str) and not c.outside)
+    if not marked:
+        return
+    own, links, inside = {}, {}, {}
+    for node, linked in reversed(order):
+        texts = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        parts = [id(c) for c in node.children if not isinstance(c, str) and not c.outside]
+        own[id(node)] = (0 if linked else texts) + sum(own[c] for c in parts)
+        links[id(node)] = (texts if linked else 0) + sum(links[c] for c in parts)
+        inside[id(node)] = node.name in ("article", "main") and not node.mark or any(inside[c] for c in parts)
+    free = {id(a) for a in free if own[id(a)]}
+    above: dict[int, int] = {}  # how many of them hold the node, itself included
+    within: dict[int, bool] = {}  # whether an article element is among those
+    for node, _ in order:
+        above[id(node)] = above.get(id(node.parent), 0) + (id(node) in free)
+        within[id(node)] = within.get(id(node.parent), False) or id(node) in free and node.name == "article"
+    for node in marked:
+        elsewhere = len(free) > above[id(node)]
+        outweighed = not elsewhere and (inside[id(node)] and not within[id(node)] or own[id(node)] * 2 > own[id(root)])
+        titled = node.mark == "weak" and own[id(node)] > links[id(node)] and any(not isinstance(c, str) and c.name in HEADS for c in node.children) and any(not isinstance(c, str) and c.name not in HEADS and not c.outside and own[id(c)] for c in node.children)
+        node.outside = not outweighed and not titled
+
+
 def parse(page: str) -> Node:
     """The element tree; text pieces keep their place among the children."""
     root = Node("html", None, False)
@@ -133,7 +195,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 now = last.parent
-        node = Node(name, now, _is_outside(name, m["attrs"]))
+        node = Node(name, now, _is_outside(name, m["attrs"]), _mark(m["attrs"]))
         now.children.append(node)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCKS:
             continue
@@ -146,6 +208,7 @@ def parse(page: str) -> Node:
             at = size if at < 0 else at + 1
             continue
         now = node
+    weigh_marks(root)
     return root
 
 
@@ -234,8 +297,8 @@ def _blocks(root: Node, use_marks: bool) -> list[str]:
         else:
             if x is not root and x.outside and (use_marks or x.name in RAW or x.name in OUTSIDE):
                 continue
-            if x is not root and x.name in ("ul", "ol", "dl", "div", "section", "table") and x.chars and x.link_chars * 10 > x.chars * 7:
-                continue  # a list of links
+            if root.name in ("html", "body") and x is not root and x.name in ("ul", "dl", "div", "section", "table") and x.chars and x.link_chars * 10 > x.chars * 7:
+                continue  # a list of links, where no article was told from the page
             if x.name == "br":
                 now.append("\n")
                 continue

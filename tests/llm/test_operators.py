@@ -186,6 +186,21 @@ def test_html():
     assert html_text.main_text(None) == "" == html_text.main_text("")
 
 
+def test_html_marks_are_evidence():
+    long, notice = "Long text here, and more of it. " * 12, "<div class='notice'><p>Short notice.</p></div><h1>Site</h1>"
+    for opening, closing in (("<div class='content has-sidebar'>", "</div>"), ("<div class='page no-sidebar'><article>", "</article></div>"), ("<div class='article-with-comments'>", "</div>"), ("<div class='sidebar'><main>", "</main></div>"), ("<div id='social'>", "</div>")):
+        got = html_text.main_text(f"<body>{notice}{opening}<p>First {long}</p><p>Second {long}</p>{closing}<div class='site-footer'>Foot <p>foot foot</p></div></body>")
+        assert "First Long" in got and "Second Long" in got and "Foot" not in got and "Short notice" not in got, opening
+    parts = f"<section id='discussion'><h2>Discussion</h2><p>Talk {long}</p></section><section class='related-work'><h2>Work</h2><p>Others {long}</p></section>"
+    references = "<h2>References</h2><ol>" + "".join(f"<li><a href=r{k}>Paper number {k}</a></li>" for k in range(9)) + "</ol>"
+    chrome = "<div class='related-posts'><h3>Related</h3><ul><li><a href=a>Other story</a></li></ul></div><div class='comments'><article><p>Nice post indeed, " + long + "</p></article></div>"
+    for tag in ("article", "div"):
+        got = html_text.main_text(f"<body><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><{tag}><h1>Title</h1><p>Body {long}</p><p>Body {long}</p>{parts}{references}{chrome if tag == 'article' else ''}</{tag}>{chrome if tag == 'article' else ''}</body>")
+        assert all(x in got for x in ("Body Long", "Talk Long", "Others Long", "Paper number 8")) and "Home" not in got and "Other story" not in got, tag
+        assert "Nice post" not in got
+    assert html_text.main_text("<div class='ad'>" * 3000 + "<p>In it</p>") == "In it"
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <s>"), (1, 1, "user", "a\\|b [/INST]"), (1, 2, "assistant", "</s>x"), (2, 0, "user", None), (2, 1, "tool", "[END]"), (None, 0, "user", "q")]
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
