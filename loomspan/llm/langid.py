@@ -28,6 +28,10 @@ GRAM = 3
 LEARN_PER_LANG = 2000
 #: More languages than this are refused: their profiles are sent to every task.
 MAX_LANGS = 1000
+#: A text of this cosine is never unlike its language, whatever its length.
+MOST_BOUND = 0.2
+#: A class of lengths is judged by so many held-out labelled documents of a language at least.
+LEAST_SEEN = 50
 _SEED = 20240611
 _BLOCK_DOCS, _BLOCK_GRAMS = 128, 1 << 21
 _SCALE = 1 << 24
@@ -65,8 +69,8 @@ def _gram_vectors(grams: np.ndarray, dims: int) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def _unit_vectors(texts: list[str | None], dims: int) -> np.ndarray:
-    """A unit vector for each text; zeros for a text without letters."""
+def _unit_vectors(texts: list[str | None], dims: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """A unit vector for each text; zeros for a text without letters. sizes gets the counts of unlike n-grams."""
     out = np.zeros((len(texts), dims), np.float32)
     at, size, rows = [], 0, []
 
@@ -88,6 +92,8 @@ def _unit_vectors(texts: list[str | None], dims: int) -> np.ndarray:
         found = _grams(text) if text else ()
         if len(found):
             rows.append(np.unique(found, return_counts=True))
+            if sizes is not None:
+                sizes[i] = len(rows[-1][0])
             at.append(i)
             size += len(rows[-1][0])
             if len(rows) == _BLOCK_DOCS or size > _BLOCK_GRAMS:
@@ -136,23 +142,60 @@ def learn(docs: DataFrame, dims: int = DIMS, per_lang: int = LEARN_PER_LANG, max
     return langs, (profiles / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, lang_pred and score (the cosine, 0 at least) for every document."""
+def least_scores(docs: DataFrame, langs: list[str], profiles: np.ndarray, per_lang: int = LEARN_PER_LANG) -> dict[str, dict[int, float]]:
+    """By language and class of lengths, the score below which a text is like no learned language.
+
+    A class is a power of two of unlike n-grams. Its bound is half of what 99 in 100 held-out
+    labelled documents of that language and class reach, so script and length set it, and
+    MOST_BOUND at most; a class where unrelated texts reach that too (three deviations of the
+    cosine of random vectors), or with few such documents, has none. A bounded sample is scored:
+    about per_lang texts a language.
+    """
+    known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where(F.col("lang").isin(*langs) & F.col("text").isNotNull() & held_out(F.col("doc_id"))) if langs else docs.limit(0)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()} if langs else {}
+    if not counts:
+        return {}
+    share = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, per_lang / n)))))
+    scored = predict(known.where(uniform("doc_id", "langid fit") < share[F.col("lang")]), langs, profiles, ("lang",), sized=True).where("lang = lang_pred")
+    classes = scored.groupBy("lang", F.floor(F.log2("n_grams")).cast("int").alias("class")).agg(F.count("*").alias("n"), F.expr("percentile(score, 0.01)").alias("low"))
+    least: dict[str, dict[int, float]] = {}
+    for r in classes.collect():  # languages times at most 40 classes
+        if r["n"] >= LEAST_SEEN and r["low"] / 2 >= 3 / profiles.shape[1] ** 0.5:
+            least.setdefault(r["lang"], {})[r["class"]] = min(MOST_BOUND, r["low"] / 2)
+    return least
+
+
+def fits(lang: str, score: float, n_grams: int, least: dict[str, dict[int, float]]) -> bool:
+    """Whether a text is like its language as far as its length tells; a longer class without a
+    bound takes that of the next shorter one, and a text shorter than any is kept."""
+    bounds = least.get(lang, {})
+    at = max((c for c in bounds if 1 << c <= n_grams), default=None)
+    return at is None or score >= bounds[at]
+
+
+def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: tuple[str, ...] = ("doc_id",), sized: bool = False, least: dict | None = None) -> DataFrame:
+    """The columns of keep, lang_pred and score (the cosine, 0 at least) for every document; with
+    sized also n_grams, with least (of ``least_scores``) also whether the text fits."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     names, texts = np.array([*langs, UNKNOWN], dtype=object), "text" in keep
+    more = [("n_grams", "long")] * sized + [("fits", "boolean")] * (least is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = _unit_vectors(batch.column(batch.num_columns - 1).to_pylist(), profiles.shape[1])
+            sizes = np.zeros(batch.num_rows, np.int64)
+            vectors = _unit_vectors(batch.column(batch.num_columns - 1).to_pylist(), profiles.shape[1], sizes)
             best, score = np.full(len(vectors), len(langs)), np.zeros(len(vectors))
             if len(langs) and len(vectors):
                 cos = vectors @ profiles.T
                 known = np.abs(vectors).sum(axis=1) > 0
                 best[known] = cos.argmax(axis=1)[known]
                 score[known] = np.clip(cos.max(axis=1)[known], 0, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 1], pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], names=[*keep, "lang_pred", "score"])
+            extra = [pa.array(sizes)] * sized
+            if least is not None:
+                extra.append(pa.array([fits(x, y, n, least) for x, y, n in zip(names[best], score, sizes, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 1], pa.array(names[best], pa.string()), pa.array(score.astype(np.float64)), *extra], names=[*keep, "lang_pred", "score", *(c for c, _ in more)])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text" if not texts else "text ")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").cast("string").alias("text" if not texts else "text ")).mapInArrow(run, ", ".join([schema, "lang_pred string, score double", *(f"{c} {t}" for c, t in more)]))
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
@@ -160,6 +203,12 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **limits) ->
     return predict(docs, *learn(docs, **limits), keep=keep)
 
 
+def identify_fitting(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``identify`` with the column fits."""
+    langs, profiles = learn(docs)
+    return predict(docs, langs, profiles, keep, least=least_scores(docs, langs, profiles))
+
+
 def op6_hd_langid(spark, sf_dir: str) -> DataFrame:
     from loomspan.llm.common import table
 

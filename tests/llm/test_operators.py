@@ -172,6 +172,23 @@ def test_language(spark, docs):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_language_stage_keeps_short_clean_documents(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    syllables = {"aa": "re in the an er on st es ou ti ed th at nd of ha en it".split(), "uu": "cion que ado los mi ga os do as ta ue ll ja en el na".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(k, text(lang, rng.choice([2, 60, 200])), lang, "s", 1) for k in range(1600) for lang in [("aa", "uu")[k % 2]]]
+    short = ["A.\nAll rights reserved.", "Edstou reinan ed for.", "Ered. ok", "Q", "Ok", "De " * 400]
+    rows += [(2000 + k, t, None, "s", 1) for k, t in enumerate(short)]
+    rows += [(3000 + k, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600)), None, "s", 1) for k in range(5)] + [(4000, "12 34", None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    before = {r["doc_id"]: r["score"] for r in langid.identify(docs).where("doc_id >= 2000").collect()}
+    assert min(before[2000 + k] for k in range(len(short))) < 0.2  # the absolute cut took these
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == set(range(1600)) | {2000 + k for k in range(len(short))}
+
+
 def test_quality_cascade(spark, docs):
     rows = quality.keep_good(docs)
     assert rows.columns == docs.columns and quality.keep_good(docs.limit(0)).count() == 0
