@@ -108,6 +108,13 @@ def mask_pii_prepared(spark, sf_dir):
     return privacy.prepare(_texts(spark, sf_dir)).select("doc_id", "input_hash", "model_text", F.size("mask_ranges").alias("n_ranges"), "is_masked", "is_cut")
 
 
+def mask_pii_whole(spark, sf_dir):
+    """All kinds of ranges over whole texts; without SQL, as RE2 has no look-around."""
+    found = _texts(spark, sf_dir).withColumn("_r", privacy.mask_ranges(F.col("text")))
+    kinds = F.array_join(F.transform("_r", lambda r: F.concat_ws(":", r["kind"], r["start"], r["end"])), ",")
+    return found.select("doc_id", F.size("_r").cast("long").alias("n_ranges"), kinds.alias("ranges"), privacy.masked(F.col("text"), F.col("_r")).alias("masked"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {
         "final_scores": flagship,
@@ -123,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "highlight_segments": highlight_segments,
         "mask_ranges_merged": mask_ranges_merged,
         "mask_pii_prepared": mask_pii_prepared,
+        "mask_pii_whole": mask_pii_whole,
     }
     return own | data_queries.queries()
 

@@ -1,6 +1,8 @@
 """The matching engine, privacy, fusion, evaluation and cache on small fixtures."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,37 @@ def test_mask_keeps_the_length(spark):
     assert len(r[0]["model_text"]) == len(text) and len(r[0]["mask_ranges"]) == 5 and "example" not in r[0]["model_text"] and not r[1]["is_masked"]
 
 
+def test_mask_of_whole_texts(spark, tmp_path):
+    from loomspan.plans import registry
+
+    pieces = ["Name: Ann Lee", "ann@example.org", "+1 (555) 123-4567", "1234 5678 9012 3456", "12 Main Street", "123-45-67890", "Customer: Bo", "🔥", "x7 of 99", "a@b.co+44 20 1234 5678"]
+    rng = random.Random(4)
+    long = lambda n: " ".join(rng.choice([*pieces, "plain words", "more, of it"]) for _ in range(n))
+    rows = [(1, "word " * 500 + ". " + " ; ".join(pieces)), (2, ""), (3, None), (4, "clean " * 900), *((k, long(rng.randint(1, 300))) for k in range(10, 30))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in registry.queries()["mask_pii_whole"](spark, str(tmp_path)).collect()}
+    assert "mask_pii_whole" not in registry.oracle_sql() and got[3]["masked"] is None and got[3]["n_ranges"] == 0
+    for doc, text in rows:
+        if text is None:
+            continue
+        hits = []
+        for n, (kind, rx) in enumerate(privacy.MASK_PATTERNS):
+            if kind == "name":  # Python looks back over one length at a time
+                rx = "(?:(?<=Name: )|(?<=Applicant: )|(?<=Customer: ))" + rx.split(": )", 1)[1]
+            hits += [(m.start(), -m.end(), n, kind) for m in re.finditer(rx, text)]
+        spans, out = [], list(text)
+        for start, end, _, kind in sorted(hits):
+            if spans and start < spans[-1][2]:
+                spans[-1][2] = max(spans[-1][2], -end)
+            else:
+                spans.append([kind, start, -end])
+        for _, start, end in spans:
+            out[start:end] = privacy.MASK * (end - start)
+        assert (got[doc]["n_ranges"], got[doc]["masked"]) == (len(spans), "".join(out)), doc
+        assert got[doc]["ranges"] == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    assert {x.split(":")[0] for x in got[1]["ranges"].split(",")} == {k for k, _ in privacy.MASK_PATTERNS if k != "identifier"} and min(int(x.split(":")[1]) for x in got[1]["ranges"].split(",")) > privacy.MAX_CHARS
+
+
 def payload(**more):
     base = {
         "schema_version": "1.1.0", "risk_intent": "direct_promotional", "speech_act": "claim", "claim_target": "general", "context_relation": "supports", "actor": "advertiser", "claim_strength": "strong",
