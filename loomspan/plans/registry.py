@@ -12,14 +12,11 @@ from loomspan.operators import matching, privacy
 from loomspan.operators.rules import DEMO_PACK, DEMO_RULES, Policy
 from loomspan.plans import data_queries
 from loomspan.plans import matching_sql as S
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from loomspan.sources.tables import table
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
