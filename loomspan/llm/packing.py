@@ -11,7 +11,9 @@ rank inside it. Only the last batch of a bucket may be short.
 
 Defined cases: a null text, or one without words, is one sequence of length 0; a text of any
 length is cut, never shortened, and its pieces joined are the text; repeated rows each give
-their sequences; an empty table gives no rows; a null doc_id is a value like others.
+their sequences; an empty table gives no rows; a null doc_id is a value like others; sequences of
+one hash go by doc_id, then piece; a column of the input that bears the name of an output column
+(whatever its case) gives way to it, all others are carried as they are.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import slices, table, uniform, written
+from loomspan.llm.common import fresh, slices, table, uniform, written, yielding
 
 MAX_TOKENS, BUCKETS, BUDGET = 4096, 8, 65_536
+#: The columns that packing adds.
+ADDED = ("piece", "n_tokens", "bucket", "batch", "slot")
 _SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
@@ -64,16 +68,18 @@ def n_words(text: Column) -> Column:
 
 def sequences(docs: DataFrame, max_tokens: int = MAX_TOKENS, with_text: bool = True) -> DataFrame:
     """docs with piece (from 0), n_tokens and, with_text, the piece as its text; else without text."""
+    docs = yielding(docs, "piece", "n_tokens")
     if with_text:
         # Possessive: a long text needs no stack.
         pieces = F.regexp_extract_all("text", F.lit(f"(?:{_SPACE}*+{_WORD}++){{1,{max_tokens}}}+(?:{_SPACE}++\\z)?+"), F.lit(0))
         pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.col("text")))
         cut = docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(pieces).alias("piece", "text"))
         return cut.select(*docs.columns, F.col("piece").cast("long").alias("piece"), n_words(F.col("text")).alias("n_tokens"))
-    counted = docs.withColumn("_n", n_words(F.col("text"))).drop("text")
-    last = F.greatest(F.ceil(F.col("_n") / max_tokens) - 1, F.lit(0)).cast("long")
+    (n,) = fresh(docs, "_n")
+    counted = docs.withColumn(n, n_words(F.col("text"))).drop("text")
+    last = F.greatest(F.ceil(F.col(n) / max_tokens) - 1, F.lit(0)).cast("long")
     cut = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return cut.withColumn("n_tokens", F.least(F.lit(max_tokens), F.col("_n") - F.col("piece") * max_tokens).cast("long")).drop("_n")
+    return cut.withColumn("n_tokens", F.least(F.lit(max_tokens), F.col(n) - F.col("piece") * max_tokens).cast("long")).drop(n)
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET, with_text: bool = True) -> DataFrame:
@@ -82,34 +88,35 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS,
     A batch is one of (bucket, batch); its sequences, padded to the bucket, are within budget
     unless one alone exceeds it.
     """
+    docs = yielding(docs, *ADDED)
     spark, cols = docs.sparkSession, docs.columns if with_text else [c for c in docs.columns if c != "text"]
-    n_slices = slices(spark)
+    n_slices, (u, part, place, start) = slices(spark), fresh(docs, "_u", "_slice", "_rank", "_before")
 
     def placed(found: DataFrame) -> DataFrame:
         order = uniform(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("piece").cast("string")), "pack")
-        return found.withColumn("_u", order).withColumn("_slice", F.floor(F.col("_u") * n_slices).cast("int"))
+        return found.withColumn(u, order).withColumn(part, F.floor(F.col(u) * n_slices).cast("int"))
 
     found = placed(sequences(docs, max_tokens, with_text))
     if with_text:  # texts are read again at the end; what is kept meanwhile is narrow
-        lengths = written(placed(sequences(docs, max_tokens, False)).select("n_tokens", "_slice"), "lengths")
+        lengths = written(placed(sequences(docs.select("doc_id", "text"), max_tokens, False)).select("n_tokens", part), "lengths")
     else:
         found = written(found, "sequences")
-        lengths = found.select("n_tokens", "_slice")
+        lengths = found.select("n_tokens", part)
     histogram = {r["n_tokens"]: r["n"] for r in lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     bounds = optimal_bounds(histogram, buckets)
     upper = F.element_at(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds or [0])), lambda b: b >= F.col("n_tokens")), 1)
 
-    counts = lengths.withColumn("bucket", upper).groupBy("bucket", "_slice").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("bucket", "_slice", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy("_u", "doc_id", "piece")) - 1
-    ranked = found.withColumn("bucket", upper).withColumn("_rank", rank).join(offsets, ["bucket", "_slice"])
-    place, size = F.col("_before") + F.col("_rank"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket"))))
-    return ranked.select(*cols, "piece", "n_tokens", "bucket", F.floor(place / size).cast("long").alias("batch"), (place % size).cast("long").alias("slot"))
+    counts = lengths.withColumn("bucket", upper).groupBy("bucket", part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("bucket", part, before.alias(start))
+    rank = F.row_number().over(Window.partitionBy("bucket", part).orderBy(u, "doc_id", "piece")) - 1
+    ranked = found.withColumn("bucket", upper).withColumn(place, rank).join(offsets, ["bucket", part])
+    at, size = F.col(start) + F.col(place), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket"))))
+    return ranked.select(*cols, "piece", "n_tokens", "bucket", F.floor(at / size).cast("long").alias("batch"), (at % size).cast("long").alias("slot"))
 
 
 def op2_length_buckets(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
 
 
 def _sql(buckets: int = BUCKETS, max_tokens: int = MAX_TOKENS, budget: int = BUDGET) -> str:
