@@ -10,13 +10,16 @@ A target is an exponent e (shares go as the observed share to the power e; 1 kee
 weights by value; values without a weight keep their observed share before all are scaled.
 
 Only the cells are raked: some for each combination of values, whatever the number of
-documents. They go through single-task windows without a shuffle and are written every few
-rounds. Documents are read twice and never shuffled unless the cells outgrow a broadcast,
-which Spark checks against its own limit.
+documents. They are counted: up to MAX_ONE_TASK go through the windows of one task without a
+shuffle, more are dealt by each dimension's values in turn. They are written every few rounds;
+totals are single numbers. Documents are read twice and never shuffled unless the cells outgrow
+a broadcast, which Spark checks against its own limit.
 
 Defined cases: a null or missing value of a dimension is the value ``(none)``; a null or empty
 text has no tokens, weighs nothing, and is kept as its cell is; rows that share a doc_id share
-their fate; an empty table gives no rows; other columns are carried by ``mix`` as they are.
+their fate; texts of any length are read whole; an empty table gives no rows. ``mix`` carries all
+columns as they are, whatever their names; in ``calibrated`` a column of the input that bears the
+name of an output column gives way to it. A column ``topic`` is a dimension, not a clash.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import table, uniform, written
+from loomspan.llm.common import discard, fresh, table, uniform, written, yielding
 from loomspan.llm.packing import n_words
 
 NONE = "(none)"
 DIMS = ("source", "lang", "topic")
 TARGETS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS, WRITE_EVERY, MAX_BOOST = 24, 6, 1.5
+MAX_ONE_TASK = 1 << 18
 # Topics by the first pattern that a text holds.
 TOPICS = (
     ("licence", "(?i:licen[cs]e|copyright)"),
@@ -41,25 +45,31 @@ TOPICS = (
 OTHER_TOPIC = "prose"
 
 
-def topic_of(text: Column) -> Column:
-    found = None
-    for name, pattern in TOPICS:
-        found = (F.when if found is None else found.when)(text.rlike(pattern), F.lit(name))
+def topic_of(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS) -> Column:
+    """The first topic (name, expression) whose expression the text holds."""
+    found = F.when(F.lit(False), F.lit(OTHER_TOPIC))
+    for name, pattern in topics:
+        found = found.when(text.rlike(pattern), F.lit(name))
     return found.otherwise(F.lit(OTHER_TOPIC))
 
 
-def _with_cells(docs: DataFrame) -> DataFrame:
-    """docs with the cell (_source, _lang, _topic) and _tokens; a column ``topic`` counts if there is one."""
+#: The columns that ``calibrated`` adds.
+ADDED = ("_source", "_lang", "_topic", "_tokens", "p", "kept")
+
+
+def _with_cells(docs: DataFrame, names: list[str], topics: tuple[tuple[str, str], ...]) -> DataFrame:
+    """docs with source, lang, topic and tokens under the names; a column ``topic`` counts if there is one."""
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)
-    topic = value("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumns({"_source": value("source"), "_lang": value("lang"), "_topic": topic, "_tokens": n_words(F.col("text"))})
+    topic = value("topic") if "topic" in docs.columns else topic_of(F.coalesce(F.col("text"), F.lit("")), topics)
+    return docs.withColumns(dict(zip(names, (value("source"), value("lang"), topic, n_words(F.col("text"))), strict=True)))
 
 
 def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds: int = ROUNDS, max_boost: float = MAX_BOOST) -> DataFrame:
     """cells (_source, _lang, _topic, tokens) with their share of all tokens, and the raked weight."""
-    rows = cells.where("tokens > 0").coalesce(1)
+    whole = cells.where("tokens > 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).collect()[0]
+    dealt = (lambda df: df.coalesce(1)) if whole["n"] <= MAX_ONE_TASK else (lambda df: df)
     over = lambda *by: Window.partitionBy(*by)
-    rows = rows.withColumn("share", F.col("tokens") / F.sum("tokens").over(over(F.lit(0))))
+    rows = dealt(cells.where("tokens > 0")).withColumn("share", F.col("tokens") / F.lit(float(max(whole["tokens"], 1))))
     for dim in DIMS:
         target, seen = targets.get(dim, 1.0), F.sum("share").over(over(f"_{dim}"))
         rows = rows.withColumn(f"t_{dim}", seen)
@@ -69,37 +79,50 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds:
         else:
             rows = rows.withColumn(f"t_{dim}", F.pow(f"t_{dim}", F.lit(float(target))))
         # Each value's target once: its first cell carries it into the sum.
-        first = F.when(F.row_number().over(over(f"_{dim}").orderBy(*(f"_{d}" for d in DIMS))) == 1, F.col(f"t_{dim}")).otherwise(0.0)
-        rows = rows.withColumn("_first", first).withColumn(f"t_{dim}", F.col(f"t_{dim}") / F.sum("_first").over(over(F.lit(0)))).drop("_first")
-    rows = rows.withColumn("weight", F.col("share"))
+        first = F.row_number().over(over(f"_{dim}").orderBy(*(f"_{d}" for d in DIMS))) == 1
+        rows = rows.withColumn(f"g_{dim}", F.when(first, F.col(f"t_{dim}")).otherwise(0.0))
+    now = written(rows, "cells")
+    sums = now.agg(*(F.coalesce(F.sum(f"g_{d}"), F.lit(1.0)).alias(d) for d in DIMS)).collect()[0]
+    rows = dealt(now).withColumns({f"t_{d}": F.col(f"t_{d}") / F.lit(sums[d]) for d in DIMS}).drop(*(f"g_{d}" for d in DIMS)).withColumn("weight", F.col("share"))
     for k in range(rounds):
-        if k % WRITE_EVERY == 0:
-            rows = written(rows, "cells").coalesce(1)
+        if k and k % WRITE_EVERY == 0:
+            before, now = now, written(rows, "cells")
+            discard(before)
+            rows = dealt(now)
         for dim in DIMS:
             rows = rows.withColumn("weight", F.col("weight") * F.col(f"t_{dim}") / F.sum("weight").over(over(f"_{dim}")))
         rows = rows.withColumn("weight", F.least("weight", F.col("share") * max_boost))
-    return written(rows, "cells")
+    out = written(rows, "cells")
+    discard(now)
+    return out
 
 
-def calibrated(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, max_boost: float = MAX_BOOST) -> DataFrame:
-    """docs with topic (_topic and so on), _tokens, the probability p and kept."""
-    cut = _with_cells(docs)
-    keys = [f"_{d}" for d in DIMS]
-    cells = written(cut.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
+def _judged(docs: DataFrame, names: list[str], targets: dict | None, rounds: int, max_boost: float, topics: tuple[tuple[str, str], ...]) -> DataFrame:
+    """docs with source, lang, topic, tokens, probability and verdict under the names."""
+    *cell, tokens, p, kept = names
+    cut, keys = _with_cells(docs, [*cell, tokens], topics), [f"_{d}" for d in DIMS]
+    cells = written(cut.select(*(F.col(c).alias(k) for c, k in zip(cell, keys, strict=True)), F.col(tokens).alias("n")).groupBy(*keys).agg(F.sum("n").alias("tokens")), "cells")
+    raked = rake(cells, TARGETS if targets is None else targets, rounds, max_boost)
     ratio = F.col("weight") / F.col("share")
-    raked = rake(cells, TARGETS if targets is None else targets, rounds, max_boost).coalesce(1)
-    odds = raked.select(*keys, (ratio / F.max(ratio).over(Window.partitionBy(F.lit(0)))).alias("p"))
-    judged = cut.join(odds, keys, "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
-    return judged.withColumn("kept", uniform("doc_id", "mix") < F.col("p"))
+    most = raked.agg(F.coalesce(F.max(ratio), F.lit(1.0)).alias("x")).collect()[0]["x"]
+    odds = raked.select(*(F.col(k).alias(c) for k, c in zip(keys, cell, strict=True)), (ratio / F.lit(most)).alias(p))
+    found = cut.join(odds, cell, "left").withColumn(p, F.coalesce(F.col(p), F.lit(1.0)))
+    return found.withColumn(kept, uniform("doc_id", "mix") < F.col(p))
+
+
+def calibrated(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, max_boost: float = MAX_BOOST, topics: tuple[tuple[str, str], ...] = TOPICS) -> DataFrame:
+    """docs with their cell (_source, _lang, _topic), _tokens, the probability p and kept."""
+    return _judged(yielding(docs, *ADDED), list(ADDED), targets, rounds, max_boost, topics)
 
 
-def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, max_boost: float = MAX_BOOST) -> DataFrame:
+def mix(docs: DataFrame, targets: dict | None = None, rounds: int = ROUNDS, max_boost: float = MAX_BOOST, topics: tuple[tuple[str, str], ...] = TOPICS) -> DataFrame:
     """The sampled documents; their own columns alone."""
-    return calibrated(docs, targets, rounds, max_boost).where("kept").select(*docs.columns)
+    names = fresh(docs, *ADDED)
+    return _judged(docs, names, targets, rounds, max_boost, topics).where(names[-1]).select(*docs.columns)
 
 
 def op4_raked_mixture(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")
     return calibrated(docs).select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("p", 6).alias("p"), "kept")
 
 
