@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import written
+from loomspan.llm.common import discard, written
 
 MAX_ROUNDS = 60
 
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         chosen = written(best.select("id", F.when(F.col("m.h") < rank("id"), F.col("m.v")).otherwise(F.col("id")).alias("rep")), "reps")
         rounds.append(chosen)
         mapped = now.join(chosen.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(chosen.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-        now = written(mapped.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct(), "edges")
+        before, now = now, written(mapped.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct(), "edges")
+        discard(before)
     if not rounds:
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = rounds[-1]

@@ -18,8 +18,10 @@ Which n-grams go last changes the work alone, not the links: any order finds all
 
 Defined cases: a null or empty text, or one of white space, has no n-grams and links with
 nothing; a text of fewer words is one n-gram; a null doc_id gives a row that links with
-nothing; rows that share a doc_id each give a row and are one vertex; an empty table gives no
-rows; whole texts are read; other columns are ignored.
+nothing; rows that share a doc_id each give a row, and all their texts are one vertex; equal and
+repeated texts are one class; an empty table gives no rows; whole texts of any length are read;
+other columns are ignored by ``near_groups`` and ``near_pairs``, and carried as they are, whatever
+their names, by ``drop_near_copies``, where rows that share a doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import slices, written
+from loomspan.llm.common import discard, fresh, join_copies, slices, table, written
 from loomspan.llm.components import connected_components
 
 _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -187,8 +189,8 @@ class _Tree:
         self.small, self.large, self.deep, self.one = small, large, deep, one
 
 
-def link_sets(ids: list[int], sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest (id, id) of the links among the sets, by the prefix-tree join."""
+def link_sets(ids: list[int], sets: list[np.ndarray], threshold: Fraction, every_link: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest (id, id) of the links among the sets, by the prefix-tree join; or every link."""
     num, den = threshold.numerator, threshold.denominator
     every, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), np.int64)
@@ -211,11 +213,11 @@ def link_sets(ids: list[int], sets: list[np.ndarray], threshold: Fraction) -> li
         stack = [(c, 0) for c in root.children.values()] + ([(root, 0)] if root.ends else [])
         while stack:
             node, overlap = stack.pop()
-            if node is not root and (den * node.large < num * size or node.one is not None and find(node.one) == find(x)):
+            if node is not root and (den * node.large < num * size or not every_link and node.one is not None and find(node.one) == find(x)):
                 continue
             overlap += int(np.count_nonzero(mask[node.ranks]))
             for y in node.ends:
-                if find(y) != find(x) and den * overlap >= num * (size + len(sets[y]) - overlap):
+                if (every_link or find(y) != find(x)) and den * overlap >= num * (size + len(sets[y]) - overlap):
                     edges.append((ids[x], ids[y]))
                     up[find(x)] = find(y)
             if node is root or not node.children:
@@ -252,14 +254,14 @@ def link_sets(ids: list[int], sets: list[np.ndarray], threshold: Fraction) -> li
     return edges
 
 
-def _joiner(n: int, threshold: Fraction):
+def _joiner(n: int, threshold: Fraction, every_link: bool):
     """Links of each (group, i, j); its rows come together, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
 
         def links():
-            found = link_sets(ids, sets, threshold) if len(ids) > 1 else []
+            found = link_sets(ids, sets, threshold, every_link) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["src", "dst"])
 
         for batch in batches:
@@ -268,17 +270,20 @@ def _joiner(n: int, threshold: Fraction):
                     if len(ids) > 1:
                         yield links()
                     now, ids, sets = key, [], []
-                if not ids or ids[-1] != doc:
+                grams = gram_set(text, n)
+                # A doc_id may stand for several texts; each is joined, a repeated one once.
+                if len(grams) and not (ids and ids[-1] == doc and np.array_equal(sets[-1], grams)):
                     ids.append(doc)
-                    sets.append(gram_set(text, n))
+                    sets.append(grams)
         if len(ids) > 1:
             yield links()
 
     return run
 
 
-def near_groups(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+def _linked(docs: DataFrame, words: int, threshold: str, every_link: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, rep) of every row of docs (doc_id, text), rep being the least document with an
+    equal set; and links (src, dst) of representatives: a spanning forest, or every one."""
     spark, limit = docs.sparkSession, Fraction(threshold)
     if not Fraction(2, 3) < limit <= 1:
         raise ValueError("the threshold must be over 2/3: below it, small sets can link without a common key")
@@ -294,14 +299,19 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> Data
     inside = packed.where("src IS NOT NULL").select("src", "dst")
     across = packed.where("part IS NOT NULL").select("part", "packed").repartition("part").sortWithinPartitions("part").mapInArrow(_meet, "src long, dst long")
 
-    # Copies with equal sets: the least document of each set stands for it.
-    by_set = sets.where("name IS NOT NULL AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = written(sets.join(by_set.where("copies > 1").select("name", "rep"), "name", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "reps")
-    moved = reps.where("rep <> doc_id").select("doc_id", "rep")
+    # Copies with equal sets: the least document of each set stands for it. A hot set stays where its rows are.
+    named = sets.where("name IS NOT NULL AND doc_id IS NOT NULL")
+    by_set = written(named.groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    shared = join_copies(named, by_set, "name").select("doc_id", "n", "rep")
+    alone = sets.where("name IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("rep"))
+    reps = written(shared.unionByName(alone), "reps")
+    discard(survey, by_set)
+    moved = reps.where("rep <> doc_id").select("doc_id", "rep").distinct()
     edges = inside.unionByName(across).distinct()
     for end in ("src", "dst"):
         edges = edges.join(moved.select(F.col("doc_id").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     classes = connected_components(edges)
+    discard(packed)
 
     # One block for a class of usual size; a larger one is cut, and each pair of blocks joined.
     lengths = reps.where("rep = doc_id").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -312,20 +322,46 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> Data
     many = many.select("doc_id", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("doc_id", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # A merge join at every size: the ids in classes grow with the corpus and are never broadcast.
     placed = one.unionByName(many).join(known.hint("merge"), "doc_id")
-    links = placed.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id").mapInArrow(_joiner(words, limit), "src long, dst long")
-    groups = connected_components(links)
+    links = placed.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id").mapInArrow(_joiner(words, limit, every_link), "src long, dst long")
+    return reps, links
+
+
+def near_groups(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    reps, links = _linked(docs, words, threshold, False)
+    # A doc_id with texts of several sets ties their classes together.
+    tied = reps.groupBy("doc_id").agg(F.min("rep").alias("dst"), F.max("rep").alias("top")).where("dst < top")
+    tied = reps.join(tied, "doc_id").select(F.col("rep").alias("src"), "dst")
+    groups = connected_components(links.unionByName(tied))
     out = reps.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
+def near_pairs(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> tuple[DataFrame, DataFrame]:
+    """Every link (src < dst) between documents that stand for their sets, and (doc_id, rep) of
+    every row: copies need not be expanded into pairs. As many rows as there are links."""
+    reps, links = _linked(docs, words, threshold, True)
+    pairs = links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
+    return pairs, reps.select("doc_id", "rep")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, threshold: str = "0.8") -> DataFrame:
-    """One document of each near-duplicate group: that of the least doc_id. Rows without a doc_id stay."""
-    keep = near_groups(docs, words, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: that of the least doc_id. Rows without a doc_id stay.
+
+    Where rows share a doc_id, each row is numbered for itself, so none is lost to a namesake.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    if known.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        keep = near_groups(docs, words, threshold).where("doc_id = component_id").select("doc_id")
+        named = known.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    else:
+        (row,) = fresh(docs, "_row")
+        rows = written(known.withColumn(row, F.monotonically_increasing_id()), "rows")
+        groups = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), words, threshold).select(F.col("doc_id").alias(row), "component_id")
+        first = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id"), F.col(row))).alias("least"))
+        named = rows.join(first.select(F.col("least")[row].alias(row)), row, "left_semi").select(*docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op9_prefix_tree_join(spark, sf_dir: str) -> DataFrame:
-    from loomspan.llm.common import table
-
-    return near_groups(table(spark, sf_dir, "documents"), 4, "0.85")
+    return near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), 4, "0.85")
