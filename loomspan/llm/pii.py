@@ -6,10 +6,15 @@ once. It adds what the patterns leave out (secrets, numbers without a plus sign,
 addresses); a pattern's span always stays, and no added span overlaps one.
 
 The weights are fitted here, by likelihood, on generated examples (``examples``): a few
-hundred lines of PII and of look-alikes, from a fixed seed.
-
-Defined cases: a null or empty text has no spans; whole texts are read; spans count code
-points, end exclusive; repeated rows each give a row; other columns are ignored.
+hundred lines of PII and of look-alikes, from a fixed seed. What a kind's form excludes is no
+candidate for it: a card number must pass Luhn, digits and separators alone have 7 to 20 digits in 7
+groups at most. Texts are decoded as they are read: where no candidate of use crosses a place, what
+lies before it is settled, so the memory does not grow with the length of a digit-dense text.
+
+Defined cases: a null or empty text has no spans; whole texts are read, of any length; spans count
+code points, end exclusive; of equal segmentations the one with the earlier, shorter last span counts;
+repeated rows each give a row; an empty table gives no rows; a null doc_id is a value like others;
+other columns are ignored by ``find_pii`` and carried as they are, whatever their names, by ``mask_pii``.
 """
 
 from __future__ import annotations
@@ -18,12 +23,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import table
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 
@@ -102,6 +110,12 @@ _SHAPES = (
     "plus", "paren", "separators_only", "plain_digits", "letters", "one_token", "long_token", "mixed_token", "hex_token", "upper_token", "bad_edge", "glued_left", "glued_right",
     "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", "opened", "opened_whole", "opened_pass", "opened_word", "marked", "issued", "caps_word", *(f"cue_{k}" for k in _CUES),
 )
+_DATE, _HEX, _DIGITS = re.compile(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}"), re.compile(r"[0-9a-f]+"), re.compile(r"[0-9]+")
+_AT_WORD, _DOT_WORDS = re.compile(r"\w[ \[({]+at[ \])}]+\w", re.I), re.compile(r"\w[ \[({]+dot[ \])}]+\w", re.I)
+_DOTTED, _SEPARATED = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)"), re.compile(r"[+(]?[0-9][0-9 ().-]*")
+_TLD = re.compile(r"(?:\.|dot[ \])}]+)[A-Za-z]{2,6}\Z")
+#: Digits and separators alone are a candidate with so many digits and groups of digits.
+LEAST_DIGITS, MOST_DIGITS, MOST_GROUPS = 7, 20, 7
 _AT = {name: k for k, name in enumerate(_SHAPES)}
 
 
@@ -132,13 +146,19 @@ def _openers(text: str, at: int = 0, end: int | None = None) -> dict[int, tuple[
 
 
 def _features(text: str, start: int, end: int, cues: list[str], opener: tuple[int, bool] | None = None) -> np.ndarray:
+    """The features of text[start:end] with what stands beside it."""
     s = text[start:end]
+    left = start > 0 and (text[start - 1].isalnum() or text[start - 1] in "@_") and s[0].isalnum()
+    right = end < len(text) and (text[end].isalnum() or text[end] == "@" or text[end] in ".-" and end + 1 < len(text) and text[end + 1].isalnum())
+    told = opener is not None
+    return _row(s, left, right, tuple(cues), told, told and opener[0] == end, told and opener[1])
+
+
+@lru_cache(maxsize=1 << 14)
+def _row(s: str, left: bool, right: bool, cues: tuple[str, ...], opened: bool, whole: bool, is_pass: bool) -> np.ndarray:
     n_digits = sum("0" <= c <= "9" for c in s)
     letters = any(c.isalpha() for c in s)
     one = s.isalnum()
-    groups = [len(g) for g in re.findall(r"[0-9]+", s)] if not letters else []
-    dotted = re.fullmatch(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)", s) if s.count(".") == 3 and not letters else None
-    digits = "".join(c for c in s if "0" <= c <= "9") if 13 <= n_digits <= 19 else ""
     on = {
         "bias": True,
         "digits0": n_digits == 0,
@@ -148,108 +168,158 @@ def _features(text: str, start: int, end: int, cues: list[str], opener: tuple[in
         "digits13_15": 13 <= n_digits <= 15,
         "digits16_19": 16 <= n_digits <= 19,
         "digits20": n_digits >= 20,
-        "at_sign": s.count("@") == 1 and 0 < s.index("@") < len(s) - 1,
-        "at_word": bool(re.search(r"\w[ \[({]+at[ \])}]+\w", s, re.I)),
-        "dot_words": bool(re.search(r"\w[ \[({]+dot[ \])}]+\w", s, re.I)),
-        "dotted4": dotted is not None,
-        "dotted4_ok": dotted is not None and all(len(p) <= 3 and int(p) <= 255 for p in dotted.groups()),
-        "luhn": bool(digits) and not letters and luhn(digits),
         "plus": s[0] == "+",
         "paren": s[0] == "(" and ")" in s,
-        "separators_only": not letters and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*", s)) and len(groups) > 1,
-        "plain_digits": len(groups) == 1 and s.isdigit(),
-        "letters": letters,
         "one_token": one,
         "long_token": one and len(s) >= 16,
-        "mixed_token": one and letters and n_digits >= 3 and len(s) >= 12,
-        "hex_token": one and letters and n_digits >= 3 and len(s) >= 16 and bool(re.fullmatch(r"[0-9a-f]+", s)),
-        "upper_token": one and len(s) >= 16 and letters and s == s.upper(),
         "bad_edge": not (s[0].isalnum() or s[0] in "+(") or not s[-1].isalnum(),
-        "glued_left": start > 0 and (text[start - 1].isalnum() or text[start - 1] in "@_") and s[0].isalnum(),
-        "glued_right": end < len(text) and (text[end].isalnum() or text[end] == "@" or text[end] in ".-" and end + 1 < len(text) and text[end + 1].isalnum()),
+        "glued_left": left,
+        "glued_right": right,
         "newline": "\n" in s,
         "spaces": s.count(" ") > 4,
-        "group334": groups[-3:] == [3, 3, 4],
-        "group444": len(groups) > 1 and all(g == 4 for g in groups),
-        "tld": bool(re.search(r"(?:\.|dot[ \])}]+)[A-Za-z]{2,6}\Z", s)),
-        "iso_date": bool(re.fullmatch(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}.*", s)),
+        "iso_date": _DATE.match(s) is not None,
         "short": len(s) < 7,
-        "opened": opener is not None,
-        "opened_whole": opener is not None and opener[0] == end,
-        "opened_pass": opener is not None and opener[1],
-        "opened_word": opener is not None and all(c.isalpha() or c in " '-" for c in s),
-        "marked": not one and any(not c.isalnum() and not c.isspace() for c in s) and letters,
-        "issued": len(s) >= 16 and _ISSUED.match(s) is not None,
-        "caps_word": one and n_digits == 0 and s.isupper(),
+        "opened": opened,
+        "opened_whole": whole,
+        "opened_pass": is_pass,
+        "opened_word": opened and all(c.isalpha() or c in " '-" for c in s),
     }
+    if letters:
+        on |= {
+            "letters": True,
+            "at_sign": s.count("@") == 1 and 0 < s.index("@") < len(s) - 1,
+            "at_word": _AT_WORD.search(s) is not None,
+            "dot_words": _DOT_WORDS.search(s) is not None,
+            "mixed_token": one and n_digits >= 3 and len(s) >= 12,
+            "hex_token": one and n_digits >= 3 and len(s) >= 16 and _HEX.fullmatch(s) is not None,
+            "upper_token": one and len(s) >= 16 and s == s.upper(),
+            "tld": _TLD.search(s) is not None,
+            "marked": not one and any(not c.isalnum() and not c.isspace() for c in s),
+            "issued": len(s) >= 16 and _ISSUED.match(s) is not None,
+            "caps_word": one and n_digits == 0 and s.isupper(),
+        }
+    else:
+        groups = [len(g) for g in _DIGITS.findall(s)]
+        dotted = _DOTTED.fullmatch(s) if s.count(".") == 3 else None
+        on |= {
+            "dotted4": dotted is not None,
+            "dotted4_ok": dotted is not None and all(len(p) <= 3 and int(p) <= 255 for p in dotted.groups()),
+            "luhn": 13 <= n_digits <= 19 and luhn("".join(c for c in s if "0" <= c <= "9")),
+            "separators_only": len(groups) > 1 and _SEPARATED.fullmatch(s) is not None,
+            "plain_digits": len(groups) == 1 and s.isdigit(),
+            "group334": groups[-3:] == [3, 3, 4],
+            "group444": len(groups) > 1 and all(g == 4 for g in groups),
+        }
     row = np.zeros(len(_SHAPES))
-    for name, value in on.items():
-        if value:
-            row[_AT[name]] = 1
+    row[[_AT[name] for name, value in on.items() if value]] = 1
     for kind, words in _CUES.items():
-        if not words.isdisjoint(cues) or kind == "secret" and opener is not None:
+        if not words.isdisjoint(cues) or kind == "secret" and opened:
             row[_AT[f"cue_{kind}"]] = 1
     return row
 
 
-def _lattice(text: str, at: int, end: int, taken: list[tuple[int, int]]):
-    """Token edges of text[at:end]; candidate spans (first, last + 1) and their features."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, at, end)]
-    # Every anchor lies in one token; after[i] is the first token from i on that holds one.
+#: So many candidates are scored at once.
+_BLOCK = 512
+#: A region is cut at the first line feed behind so many characters.
+_PIECE = 1 << 16
+
+
+def _candidates(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, last + 1, features) of the candidate spans of the tokens of text[at:end], by first token."""
     opened = _openers(text, max(0, at - MAX_CHARS), end)
+    # Every anchor lies in one token; after[i] is the first token from i on that holds one.
     after = [len(tokens)] * (len(tokens) + 1)
     for i in range(len(tokens) - 1, -1, -1):
         a, b = tokens[i]
         after[i] = i if _ANCHOR.search(text, a, b) or b - a >= 12 and _is_mixed(text[a:b]) else after[i + 1]
-    spans, rows = [], []
+    low = 0  # taken spans before it end before every later start
     for i, (start, _) in enumerate(tokens):
         opener = opened.get(start)
         if opener is None and (after[i] >= i + MAX_TOKENS or not (text[start].isalnum() or text[start] in "+(")):
             continue
-        cues = None
+        while low < len(taken) and taken[low][1] <= start:
+            low += 1
+        cues, n_digits, n_groups, plain = None, 0, 0, True
         # An announced value may have more tokens: any string of signs does.
         for j in range(i, len(tokens) if opener else min(i + MAX_TOKENS, len(tokens))):
-            stop = tokens[j][1]
-            if stop - start > MAX_CHARS or text[tokens[j][0]] == "\n":
+            first, stop = tokens[j]
+            if stop - start > MAX_CHARS or text[first] == "\n":
                 break
+            token = text[first:stop]
+            if token.isdigit():
+                n_digits, n_groups = n_digits + len(token), n_groups + 1
+            elif plain and any(c.isalpha() for c in token):
+                plain = False
             whole = opener is not None and stop == opener[0]
             if opener is not None and j >= i + MAX_TOKENS and not whole:
                 continue
-            if not (text[stop - 1].isalnum() or whole) or any(a < stop and start < b for a, b in taken):
+            if plain and opener is None and not (LEAST_DIGITS <= n_digits <= MOST_DIGITS and n_groups <= MOST_GROUPS):
+                continue
+            if not (text[stop - 1].isalnum() or whole) or low < len(taken) and taken[low][0] < stop:
                 continue
             if after[i] > j and opener is None:
                 continue
             if cues is None:
                 cues = [w.lower() for w in _WORD.findall(text[max(0, start - 24) : start])[-2:]]
-            spans.append((i, j + 1))
-            rows.append(_features(text, start, stop, cues, opener))
-    return tokens, spans, np.array(rows) if rows else np.zeros((0, len(_SHAPES)))
-
-
-def _decode(n: int, spans: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation of n tokens: (first, last + 1, kind); a token outside scores 0."""
-    by_end: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
-    for (i, j), row in zip(spans, scores, strict=True):
-        k = int(row.argmax())
-        if row[k] > 0:
-            by_end[j].append((float(row[k]), i, k))
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for s, i, k in by_end[j]:
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (i, k)
-    out, j = [], n
-    while j:
-        if back[j] is None:
+            yield i, j + 1, _features(text, start, stop, cues, opener)
+
+
+def _scored(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens: list[tuple[int, int]], weights: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(first, last + 1, kind, score) of the candidates with a score over 0, by first token."""
+    held: list[tuple[int, int, np.ndarray]] = []
+
+    def block():
+        scores = np.array([r for _, _, r in held]) @ weights
+        scores[:, KINDS.index("card")] = np.where([r[_AT["luhn"]] == 1 for _, _, r in held], scores[:, KINDS.index("card")], -np.inf)
+        kinds = scores.argmax(1)
+        found = [(i, j, int(k), float(row[k])) for (i, j, _), k, row in zip(held, kinds, scores, strict=True) if row[k] > 0]
+        held.clear()
+        return found
+
+    for span in _candidates(text, at, end, taken, tokens):
+        held.append(span)
+        if len(held) == _BLOCK:
+            yield from block()
+    if held:
+        yield from block()
+
+
+def _best(first: int, last: int, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """The best segmentation of tokens first .. last - 1: (first, last + 1, kind); a token outside scores 0."""
+    by_end: dict[int, list[tuple[float, int, int]]] = {}
+    for i, j, k, score in spans:
+        by_end.setdefault(j, []).append((score, i, k))
+    best, back = [0.0] * (last - first + 1), [None] * (last - first + 1)
+    for j in range(first + 1, last + 1):
+        best[j - first] = best[j - first - 1]
+        for score, i, k in by_end.get(j, ()):
+            if best[i - first] + score > best[j - first]:
+                best[j - first], back[j - first] = best[i - first] + score, (i, k)
+    out, j = [], last
+    while j > first:
+        if back[j - first] is None:
             j -= 1
         else:
-            i, k = back[j]
+            i, k = back[j - first]
             out.append((i, j, k))
             j = i
     return out[::-1]
 
 
+def _decoded(spans: Iterator[tuple[int, int, int, float]]) -> Iterator[tuple[int, int, int]]:
+    """The best segmentation by dynamic programming, piece by piece: a piece ends where no span crosses."""
+    held: list[tuple[int, int, int, float]] = []
+    reach = 0
+    for span in spans:
+        if held and span[0] >= reach:
+            yield from _best(held[0][0], reach, held)
+            held, reach = [], 0
+        held.append(span)
+        reach = max(reach, span[1])
+    if held:
+        yield from _best(held[0][0], reach, held)
+
+
 def examples(count: int = 320, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Generated lines with their spans: PII in several forms, and look-alikes without; then half
     as many lines of announced secrets and of words that are none."""
@@ -344,7 +414,9 @@ def fit(count: int = 320, steps: int = 60, seed: int = 7) -> np.ndarray:
     """Weights by (feature, kind): gradient ascent on the likelihood of the segmentations."""
     data = []
     for text, spans in examples(count, seed):
-        tokens, cands, rows = _lattice(text, 0, len(text), [])
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        found = list(_candidates(text, 0, len(text), [], tokens))
+        cands, rows = [(i, j) for i, j, _ in found], np.array([r for _, _, r in found])
         at = {(tokens[i][0], tokens[j - 1][1]): k for k, (i, j) in enumerate(cands)}
         gold = [(at[(a, b)], KINDS.index(kind)) for kind, a, b in spans if (a, b) in at]
         data.append((len(tokens), cands, rows, gold))
@@ -400,18 +472,40 @@ def _regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _united(spans) -> list[tuple[int, int]]:
+    """The union of the spans: stretches without overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cuts(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a region, cut at line feeds, which no span crosses."""
+    while at < end:
+        stop = text.find("\n", min(at + _PIECE, end), end)
+        stop = end if stop < 0 else stop
+        yield at, stop
+        at = stop
+
+
 def find_spans(text: str | None, weights: np.ndarray) -> tuple[list, list]:
     """The patterns' spans, and all spans: each (kind, start, end), by kind and start."""
     if not text:
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
-    added = []
+    taken = _united((a, b) for _, a, b in base)
+    added, done = [], 0
     for at, end in _regions(text):
-        near = [x for x in taken if x[0] < end and at < x[1]]
-        tokens, cands, rows = _lattice(text, at, end, near)
-        if cands:
-            added += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _decode(len(tokens), cands, rows @ weights)]
+        while done < len(taken) and taken[done][1] <= at:
+            done += 1
+        near = list(takewhile(lambda x: x[0] < end, islice(taken, done, None)))
+        for a, b in _cuts(text, at, end):
+            tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
+            added += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _decoded(_scored(text, a, b, near, tokens, weights))]
     order = {k: n for n, k in enumerate(KINDS)}
     return base, sorted({*base, *added}, key=lambda s: (order[s[0]], s[1], s[2]))
 
@@ -471,6 +565,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def op1_pii_semicrf(spark, sf_dir: str) -> DataFrame:
-    from loomspan.llm.common import table
-
-    return find_pii(table(spark, sf_dir, "documents"), with_text=False).drop("masked")
+    return find_pii(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False).drop("masked")
