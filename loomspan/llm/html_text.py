@@ -6,8 +6,10 @@ body is the threshold that a wider subtree must meet (Sun, Song, Liao: DOM based
 extraction via text density, SIGIR 2011).
 
 Defined cases: null or empty html gives an empty text; a page without a text gives an empty
-one; class and id names are evidence alone (``weigh_marks``); unclosed or stray tags are closed or ignored as browsers do; very long pages are read
-whole; repeated rows each give a row; columns besides the three are ignored.
+one; class and id names are evidence alone (``weigh_marks``); unclosed or stray tags are closed or
+ignored as browsers do; very long and very deep pages are read whole, in time that grows with their
+length; of subtrees with equal sums the outer, earlier one counts; repeated rows each give a row; a null
+page_id or url is carried; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import table
+
 # Fixed values of HTML: elements by how their tags nest and whether their text is shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas select".split())
@@ -29,6 +34,7 @@ BLOCKS = frozenset(
     "blockquote figure figcaption header footer nav aside form fieldset address details summary hr center hgroup search dialog menu".split()
 )
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+P_SCOPE = frozenset("p table td th button body html article section div".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 HEADS = HEADINGS | {"h4", "h5", "h6", "header"}
 #: An opening tag ends an open element of these names, up to the given scope.
@@ -65,15 +71,18 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _ATTR = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "children", "parent", "outside", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "children", "parent", "scope", "outside", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, outside: bool, mark: str = ""):
         self.name, self.parent, self.outside, self.mark = name, parent, outside, mark
+        # The nearest element from here up that an open paragraph cannot reach beyond, or is one.
+        self.scope: Node | None = self if name in P_SCOPE else parent.scope if parent else None
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -153,7 +162,16 @@ def parse(page: str) -> Node:
     """The element tree; text pieces keep their place among the children."""
     root = Node("html", None, False)
     now, at, size = root, 0, len(page)
-    lower = None
+    open_names: Counter[str] = Counter()
+
+    def close(outer: Node) -> Node:
+        """Ends all open elements inside outer."""
+        up = now
+        while up is not outer:
+            open_names[up.name] -= 1
+            up = up.parent
+        return outer
+
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -169,24 +187,22 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            up = now
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                now = up.parent
+            if open_names[name]:  # else a stray end tag, which is told without a look at the path
+                up = now
+                while up.name != name:
+                    up = up.parent
+                now = close(up.parent)
             continue
         if name in ("html", "body"):
             while now.parent is not None and now.name in ("head", "p", "title", "meta"):
-                now = now.parent
+                now = close(now.parent)
             if name == "html" or any(isinstance(c, Node) and c.name == "body" for c in root.children):
                 continue
         if name in CLOSES_P:
-            up = now
-            while up is not None and up.name not in ("p", "table", "td", "th", "button", "body", "html", "article", "section", "div"):
-                up = up.parent
+            up = now.scope
             if up is not None and up.name == "p":
-                now = up.parent
-        if name in ENDS:
+                now = close(up.parent)
+        if name in ENDS and any(open_names[x] for x in ENDS[name][0]):
             ended, scope = ENDS[name]
             up, last = now, None
             while up is not None and up.name not in scope:
@@ -194,20 +210,18 @@ def parse(page: str) -> Node:
                     last = up
                 up = up.parent
             if last is not None:
-                now = last.parent
+                now = close(last.parent)
         node = Node(name, now, _is_outside(name, m["attrs"]), _mark(m["attrs"]))
         now.children.append(node)
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at)
-            end = size if end < 0 else end
+            end = _RAW_END[name].search(page, at)
             node.outside = True
-            at = page.find(">", end)
-            at = size if at < 0 else at + 1
+            at = size if end is None else page.find(">", end.end()) + 1 or size
             continue
         now = node
+        open_names[name] += 1
     weigh_marks(root)
     return root
 
@@ -337,6 +351,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 
 def op7_text_density(spark, sf_dir: str) -> DataFrame:
-    from loomspan.llm.common import table
-
-    return extract_main_text(table(spark, sf_dir, "pages"))
+    return extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
