@@ -5,8 +5,11 @@ letters' vectors, permuted by their place; a text is the sum of its n-grams; a l
 the sum of its learning texts at unit length. A text gets the language of greatest cosine.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is every
-text where nothing could be learned; null languages are not learned from; whole texts are
-read, in blocks of documents that bound the memory; repeated rows each give a row.
+text where nothing could be learned; null languages are not learned from, nor are languages beyond
+the MAX_LANGS most frequent; of equal cosines the first language by name counts; whole texts of any
+length are read, in blocks of documents that bound the memory; repeated rows each give a row; an
+empty table gives no rows; columns named in ``keep`` are carried as they are, others ignored, and one
+that bears the name of an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -19,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import uniform
+from loomspan.llm.common import fresh, table, uniform
 
 UNKNOWN = "und"
 DIMS = 1024
 GRAM = 3
 #: At most about so many texts of each language are learned from.
 LEARN_PER_LANG = 2000
-#: More languages than this are refused: their profiles are sent to every task.
+#: So many languages at most are learned, the most frequent ones, as their profiles are sent to every task.
 MAX_LANGS = 1000
 #: A text of this cosine is never unlike its language, whatever its length.
 MOST_BOUND = 0.2
@@ -114,11 +117,9 @@ def learn(docs: DataFrame, dims: int = DIMS, per_lang: int = LEARN_PER_LANG, max
     of doc_id. The partial sums are whole numbers, so their order does not matter.
     """
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not counts:
         return [], np.zeros((0, dims), np.float32)
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     langs = sorted(counts)
     share = F.create_map(*(x for c in langs for x in (F.lit(c), F.lit(min(1.0, per_lang / counts[c])))))
     sample = labelled.where(uniform("doc_id", "langid") < share[F.col("lang")])
@@ -176,6 +177,7 @@ def fits(lang: str, score: float, n_grams: int, least: dict[str, dict[int, float
 def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: tuple[str, ...] = ("doc_id",), sized: bool = False, least: dict | None = None) -> DataFrame:
     """The columns of keep, lang_pred and score (the cosine, 0 at least) for every document; with
     sized also n_grams, with least (of ``least_scores``) also whether the text fits."""
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score", "n_grams", "fits"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     names, texts = np.array([*langs, UNKNOWN], dtype=object), "text" in keep
     more = [("n_grams", "long")] * sized + [("fits", "boolean")] * (least is not None)
@@ -195,7 +197,7 @@ def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: tuple
                 extra.append(pa.array([fits(x, y, n, least) for x, y, n in zip(names[best], score, sizes, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - 1], pa.array(names[best], pa.string()), pa.array(score.astype(np.float64)), *extra], names=[*keep, "lang_pred", "score", *(c for c, _ in more)])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text" if not texts else "text ")).mapInArrow(run, ", ".join([schema, "lang_pred string, score double", *(f"{c} {t}" for c, t in more)]))
+    return docs.select(*keep, F.col("text").cast("string").alias("text" if not texts else fresh(docs, "text")[0])).mapInArrow(run, ", ".join([schema, "lang_pred string, score double", *(f"{c} {t}" for c, t in more)]))
 
 
 def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
@@ -210,7 +212,5 @@ def identify_fitting(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
 
 
 def op6_hd_langid(spark, sf_dir: str) -> DataFrame:
-    from loomspan.llm.common import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return identify(docs).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -13,11 +13,12 @@
 ``read_slots`` reads any run of slots by seeking, so training resumes at any step.
 
 Encoders: ``ByteEncoder`` (ids are UTF-8 bytes; 0xFE ends a document, 0xFF pads; neither occurs
-in UTF-8) and ``RankEncoder`` (a byte-level BPE rank file by path).
+in UTF-8) and ``RankEncoder`` (a byte-level BPE; ``rank_encoder`` reads its file on the driver and
+the ranks go with the tasks, so executors need no file of their own).
 
 Defined cases: a null or empty text is its end mark alone; texts of any length go on over
-sequences; repeated rows are each written; an empty table makes no shard and no rows; other
-columns are ignored. Texts are encoded twice rather than stored in between, so docs must give
+sequences; repeated rows are each written, in their order; a null doc_id is carried; an empty table
+makes no shard and no rows; other columns are ignored. Texts are encoded twice rather than stored in between, so docs must give
 the same rows in the same partitions each time, as a table that is read does; the writers
 check that every slot is there once.
 """
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loomspan.llm.common import new_path, table, written
+from loomspan.llm.common import new_path, written
 
 STRIDE, SHARD_BYTES, KEY, ROUNDS = 2048, 256 << 20, 0x5EED, 6
 
@@ -59,30 +60,43 @@ class ByteEncoder:
         return ids.tobytes().decode()
 
 
+# Fixed value: how the public byte-level vocabularies cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @dataclass(frozen=True)
 class RankEncoder:
-    """ids are ranks of the file at path; end and pad are free ids above them."""
+    """ids are ranks of a byte-level BPE: a line (base64 of the token, rank) for each; end and pad
+    are free ids beyond them."""
 
-    path: str
-    pattern: str
+    ranks: bytes
     end: int
     pad: int
+    pattern: str = PATTERN
     dtype: str = "uint16"
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(_ranks(self.path, self.pattern).encode_ordinary(text), self.dtype)
+        return np.array(_encoding(self.ranks, self.pattern).encode_ordinary(text), self.dtype)
 
     def text(self, ids: np.ndarray) -> str:
-        return _ranks(self.path, self.pattern).decode(ids.tolist())
+        return _encoding(self.ranks, self.pattern).decode(ids.tolist())
+
+
+def rank_encoder(path: str, pattern: str = PATTERN) -> RankEncoder:
+    """The encoder of a rank file by path or URI; the two ids behind its last rank end and pad."""
+    fs, root = filesystem(path)
+    with fs.open_input_file(root) as f:
+        ranks = f.read()
+    free = 1 + max(int(line.split()[1]) for line in ranks.splitlines() if line.strip())
+    return RankEncoder(ranks, free, free + 1, pattern, "uint16" if free + 1 < 1 << 16 else "uint32")
 
 
 @lru_cache(maxsize=2)
-def _ranks(path: str, pattern: str):
+def _encoding(ranks: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=found, special_tokens={})
 
 
 # ---- the permutation -------------------------------------------------------------------
@@ -260,4 +274,5 @@ def read_slots(folder: str, start: int, count: int) -> np.ndarray:
 
 
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "shards"))
+    # Read as it lies: a task that runs again must see its rows in the same order.
+    return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), new_path(spark, "shards"))
