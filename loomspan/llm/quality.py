@@ -59,18 +59,24 @@ def repeated_words(words: Column, gram: int = GRAM) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(pairs, of_sorted))
 
-    def of_words(hashes: Column) -> Column:
-        return _let(F.transform(F.sequence(F.lit(1), F.size(hashes) - gram + 1), lambda i: F.xxhash64(F.slice(hashes, i, gram))), covered)
+    def side_by_side(x: Column, apart: int) -> Column:
+        return F.zip_with(F.slice(x, 1, F.size(x) - apart), F.slice(x, apart + 1, F.size(x)), lambda a, b: F.xxhash64(a, b))
 
-    # A word is hashed once; a window's hash is that of its words' hashes.
-    return F.when(F.size(words) < gram, F.lit(0)).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), of_words)).cast("long")
+    def widened(x: Column, width: int) -> Column:
+        if width == gram:
+            return covered(x)
+        apart = min(width, gram - width)
+        return _let(side_by_side(x, apart), lambda y: widened(y, width + apart))
+
+    # A word is hashed once; a window's hash is that of two narrower windows which cover it.
+    return F.when(F.size(words) < gram, F.lit(0)).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda x: widened(x, 1))).cast("long")
 
 
 #: A count of a text by name: from the text, or from its words where they are needed.
 FEATURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_words": lambda text, words: _count_of(text, r"[^\x20\x09-\x0D]+"),
     "full": lambda text, words: F.coalesce(text.rlike(rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{{LEAST_WORDS}}}"), F.lit(False)),
-    "word_chars": lambda text, words: F.coalesce(F.length(text) - _count_of(text, r"[\x20\x09-\x0D]"), F.lit(0)).cast("long"),
+    "word_chars": lambda text, words: F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit(0)).cast("long"),
     "n_symbols": lambda text, words: _count_of(text, f"[{SYMBOLS}]"),
     "n_exclaims": lambda text, words: _count_of(text, "!"),
     "n_lines": lambda text, words: F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long"),
