@@ -1,7 +1,8 @@
 """Text functions: normalising, segmenting, pattern hits, clauses. Columns in, columns out.
 
 Offsets count code points from 0, end exclusive. Everything but the NFKC forms stays in the
-JVM. A null text gives null, or an empty array.
+JVM. A null text gives null, or an empty array. Places are sums of the lengths before them, which
+``running`` takes in n log n steps, so the work on a text grows with its length.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -22,7 +24,14 @@ NO_WIDTH = r"[\u200B-\u200D\u2060\uFEFF]"
 END = "[.!?\u3002\uFF01\uFF1F]"
 WORD = r"[\p{L}\p{N}_]"
 _MAPPED = StructType().add("text", StringType()).add("starts", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType()))
-_DOT, _CUT, _GAP = "\x04", "\x03", "\x05"
+_FORMS = StructType().add("text", StringType()).add("starts", ArrayType(IntegerType())).add("ends", ArrayType(IntegerType())).add("plain", StringType())
+_CUT = "\x03"
+_INK = f"[^{SPACE[1:-1]}{NO_WIDTH[1:-1]}]"
+# Behind a sentence end, but for a dot between two word characters; and blank lines.
+_ENDS = f"[!?\u3002\uFF01\uFF1F]|\\.(?:(?<!{WORD}\\.)|(?!{WORD}))"
+_GAP = "\n *\n[\n ]*"
+#: Texts of these characters alone are their own NFKC form, but for case and white space.
+_STABLE = r"^[\x00-\x0C\x0E-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03CE\u0400-\u0481\u048A-\u052F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,36 +55,62 @@ def squeezed_nfkc(texts: pd.Series) -> pd.Series:
 def levelled(text: Column) -> Column:
     """Lower case with every white-space character but the line feed as a space; as long as the text.
 
-    The few characters whose lower case is longer stay as they are.
+    The few characters whose lower case is longer stay as they are; so does no control character
+    that the cutting of texts uses.
     """
-    odd = "\t\x0b\x0c\r\xa0\u1680\u2007\u202f\u205f\u3000"
-    return F.translate(F.lower(F.translate(text, "\u0130", "I")), odd, " " * len(odd))
+    odd = r"[\x03\x09\x0B-\x0D\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+    return F.regexp_replace(F.lower(F.replace(text, F.lit("\u0130"), F.lit("I"))), odd, " ")
+
+
+def running(xs: Column, step: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The sums (or another step's results) of an array up to each place: passes of doubling reach."""
+
+    def further(done: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(done, lambda x, i: F.when(i >= reach, step(F.get(done, i - reach), x)).otherwise(x))
+
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs))).cast("int") - 1)
+    return F.when(F.size(xs) <= 1, xs).otherwise(F.aggregate(passes, xs, further))
+
+
+def _mapped(t: str) -> tuple[str, list[int], list[int]]:
+    out, starts, ends, i = [], [], [], 0
+    while i < len(t):
+        c, at = t[i], i
+        i += 1
+        if c == "\r":
+            i += t[i : i + 1] == "\n"
+            piece = "\n"
+        elif c == "\n":
+            piece = "\n"
+        elif c.isspace() or c == _CUT:
+            piece = " "
+        else:
+            piece = "".join(x for x in unicodedata.normalize("NFKC", c).lower() if x not in "\u200b\u200c\u200d\u2060\ufeff")
+        out.append(piece)
+        starts += [at] * len(piece)
+        ends += [i] * len(piece)
+    return "".join(out), starts, ends
 
 
 @pandas_udf(_MAPPED)
 def levelled_with_map(texts: pd.Series) -> pd.DataFrame:
     """Each character's NFKC in lower case, line ends as line feeds, other spaces as spaces, and
     no characters without width; starts and ends give each new character's place in the text."""
-    rows = []
-    for t in texts:
-        out, starts, ends, i, t = [], [], [], 0, t or ""
-        while i < len(t):
-            c, at = t[i], i
-            i += 1
-            if c == "\r":
-                i += t[i : i + 1] == "\n"
-                piece = "\n"
-            elif c == "\n":
-                piece = "\n"
-            elif c.isspace():
-                piece = " "
-            else:
-                piece = "".join(x for x in unicodedata.normalize("NFKC", c).lower() if x not in "\u200b\u200c\u200d\u2060\ufeff")
-            out.append(piece)
-            starts += [at] * len(piece)
-            ends += [i] * len(piece)
-        rows.append(("".join(out), starts, ends))
-    return pd.DataFrame(rows, columns=["text", "starts", "ends"])
+    return pd.DataFrame([_mapped(t or "") for t in texts], columns=["text", "starts", "ends"])
+
+
+@pandas_udf(_FORMS)
+def normal_forms(texts: pd.Series) -> pd.DataFrame:
+    """``levelled_with_map`` and, as plain, ``squeezed_nfkc``; nulls for a null."""
+    space, none = re.compile(f"{SPACE}+"), re.compile(NO_WIDTH)
+    plain = lambda t: space.sub(" ", none.sub("", unicodedata.normalize("NFKC", t).lower())).strip(" ")
+    return pd.DataFrame([(None,) * 4 if t is None else (*_mapped(t), plain(t)) for t in texts], columns=["text", "starts", "ends", "plain"])
+
+
+def unstable(text: Column) -> Column:
+    """The text where NFKC may change it or its line ends, else null: the others need no Python."""
+    return F.when(~text.rlike(_STABLE), text)
 
 
 def fingerprint(text: Column) -> Column:
@@ -89,55 +124,46 @@ def utf16_length(text: Column) -> Column:
 # ---- segments ----------------------------------------------------------------------------
 
 
-def _pieces(text: Column) -> Column:
-    """(text, start, end, gap) of all pieces: they join to the text; gap marks a blank line."""
-    marked = F.regexp_replace(text, f"(?<={WORD})\\.(?={WORD})", _DOT)
-    marked = F.regexp_replace(marked, f"({END})", f"$1{_CUT}")
-    marked = F.regexp_replace(marked, "(\n *\n[\n ]*)", f"{_CUT}$1{_GAP}{_CUT}")
-    raw = F.split(marked, _CUT)
+def sentences(text: Column) -> Column:
+    """array<struct<text, start, end, par>>: cut behind sentence ends, a dot between two word
+    characters excepted, and at blank lines, which par counts; blank pieces are no sentences."""
+    marked = F.regexp_replace(F.regexp_replace(text, _ENDS, f"$0{_CUT}"), _GAP, f"{_CUT}$0{_CUT}")
+    gap = 1 << 40  # a place and the count of blank lines before it, in one number
 
-    def step(done: Column, piece: Column) -> Column:
-        plain = F.translate(F.translate(piece, _GAP, ""), _DOT, ".")
-        start, gap = done["at"], F.contains(piece, F.lit(_GAP))
-        end = start + F.length(plain)
-        paragraph = done["par"] + gap.cast("int")
-        row = F.struct(plain.alias("text"), start.alias("start"), end.alias("end"), paragraph.alias("par"))
-        kept = F.when(squeezed(plain) == "", done["out"]).otherwise(F.concat(done["out"], F.array(row)))
-        return F.struct(end.alias("at"), paragraph.alias("par"), kept.alias("out"))
+    def rows(raw: Column) -> Column:
+        sizes = F.transform(raw, lambda p: F.length(p) + F.when(p.rlike("^\n *\n"), F.lit(gap)).otherwise(F.lit(0).cast("long")))
 
-    empty = F.array().cast("array<struct<text:string,start:int,end:int,par:int>>")
-    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("par"), empty.alias("out"))
-    return F.aggregate(raw, first, step, lambda done: done["out"])
+        def placed(ends: Column) -> Column:
+            at = lambda e: e.bitwiseAND(F.lit(gap - 1)).cast("int")
+            every = F.transform(raw, lambda p, i: let(F.get(ends, i), lambda e: F.struct(p.alias("text"), (at(e) - F.length(p)).alias("start"), at(e).alias("end"), F.shiftright(e, 40).cast("int").alias("par"))))
+            return F.filter(every, lambda s: s["text"].rlike(_INK))
 
+        return let(running(sizes), placed)
+
+    return F.coalesce(let(F.split(marked, _CUT), rows), F.array().cast("array<struct<text:string,start:int,end:int,par:int>>"))
 
-def sentences(text: Column) -> Column:
-    """array<struct<text, start, end, par>>: cut behind sentence ends, a dot between two word
-    characters excepted, and at blank lines, which par counts; blank pieces are no sentences."""
-    return F.coalesce(_pieces(text), F.array().cast("array<struct<text:string,start:int,end:int,par:int>>"))
 
+_WINDOW = ("pair", "text", "start", "end", "cut", "prev", "next")
 
-def windows(text: Column, found: Column) -> Column:
+
+def windows(found: Column) -> Column:
     """Each sentence, and each two neighbours of one paragraph, in order.
 
-    idx counts windows; cut is the first sentence's end inside the window (pairs only); before
-    and after are where the guard's wider scopes begin and end.
+    idx counts windows; cut is the first sentence's end inside the window (pairs only); prev and
+    next are the sentences of the paragraph beside a single one, for the guard's wider scopes.
     """
 
     def around(xs: Column, s: Column, i: Column) -> Column:
         other = lambda d: F.when(F.get(xs, i + d)["par"] == s["par"], F.get(xs, i + d))
-        single = F.struct(
-            F.lit(False).alias("pair"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), (s["end"] - s["start"]).alias("cut"),
-            other(-1)["start"].alias("before"), other(1)["end"].alias("after"),
-        )
-        both = F.struct(
-            F.lit(True).alias("pair"), F.substring(text, s["start"] + 1, other(1)["end"] - s["start"]).alias("text"), s["start"].alias("start"), other(1)["end"].alias("end"),
-            (s["end"] - s["start"]).alias("cut"), F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"),
-        )
+        size, none = (s["end"] - s["start"]).alias("cut"), F.lit(None).cast("string")
+        single = F.struct(F.lit(False).alias("pair"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), size, other(-1)["text"].alias("prev"), other(1)["text"].alias("next"))
+        # Nothing stands between two sentences of one paragraph.
+        both = F.struct(F.lit(True).alias("pair"), F.concat(s["text"], other(1)["text"]).alias("text"), s["start"].alias("start"), other(1)["end"].alias("end"), size, none.alias("prev"), none.alias("next"))
         return F.filter(F.array(single, both), lambda w: w["end"].isNotNull())
 
     def every(xs: Column) -> Column:
         flat = F.flatten(F.transform(xs, lambda s, i: around(xs, s, i)))
-        return F.transform(flat, lambda w, i: F.struct(i.alias("idx"), *(w[c].alias(c) for c in ("pair", "text", "start", "end", "cut", "before", "after"))))
+        return F.transform(flat, lambda w, i: F.struct(i.alias("idx"), *(w[c].alias(c) for c in _WINDOW)))
 
     # Bound once: a filter that is pushed below may otherwise evaluate it for each sentence.
     return let(found, every)
@@ -152,39 +178,52 @@ def literal_regex(pattern: str, suffixes: tuple[str, ...] = ()) -> str | None:
     plain = re.sub(f"{SPACE}+", " ", unicodedata.normalize("NFKC", pattern).lower()).strip()
     if len(plain) < 2:
         return None
-    body = rf"{SPACE}*".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", w) for w in plain.split(" "))
+    first, *more = (re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", w) for w in plain.split(" "))
     tail = "(?:" + "|".join(sorted(suffixes, key=len, reverse=True)) + ")?" if suffixes else ""
-    return f"(?<!{WORD}){body}(?={tail}(?!{WORD}))"
+    # The first word stands first and looks back over itself: a search for it is the fastest.
+    return f"{first}(?<!{WORD}{first})" + "".join(f"{SPACE}*{w}" for w in more) + f"(?={tail}(?!{WORD}))"
+
+
+@lru_cache(maxsize=4096)
+def _runs(expression: str) -> bool:
+    """Whether the engine that runs the expression takes it, and it does not match the empty text."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:  # no engine to ask yet: Python's is close
+        try:
+            return re.search(expression, "") is None
+        except re.error:
+            return False
+    try:
+        return not spark._jvm.java.util.regex.Pattern.compile(expression).matcher("").find()
+    except Exception:  # the gateway's error holds Java's syntax error
+        return False
 
 
 def pattern_regex(pattern: str, suffixes: tuple[str, ...] = ()) -> str | None:
-    """The Java expression of a rule's pattern: a literal, or an expression behind ``re:``."""
+    """The Java expression of a rule's pattern: a literal, or an expression behind ``re:``; None for
+    one that is dead: too short, of bad syntax, or matching the empty text."""
     if not pattern.startswith("re:"):
         return literal_regex(pattern, suffixes)
-    try:
-        re.compile(pattern[3:])
-    except re.error:
-        return None
-    return "(?iu)" + pattern[3:]
+    found = "(?iu)" + pattern[3:]
+    return found if _runs(found) else None
 
 
-def hit_spans(text: Column, regex: str) -> Column:
-    """array<struct<start, end>> of all matches; the expression must not match the empty text.
+def hit_spans(text: Column, regex: str | Column) -> Column:
+    """array<struct<start, end>> of all matches that are not empty.
 
-    What lies between the matches and the matches themselves take turns, so a match begins
-    where their lengths so far end.
+    Matches are marked and the text is cut at the marks: every second piece is a match, and it
+    begins where the lengths before it end.
     """
 
-    def spans(found: Column) -> Column:
-        between = F.split(text, regex, -1)
-        lengths = F.zip_with(between, found, lambda a, b: F.struct(F.length(a).alias("a"), F.coalesce(F.length(b), F.lit(0)).alias("b")))
-
-        def at(i: Column) -> Column:
-            return F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda x, y: x + y["a"] + y["b"]) + lengths[i]["a"]
+    def spans(parts: Column) -> Column:
+        def placed(ends: Column) -> Column:
+            every = F.transform(ends, lambda e, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("start"), e.alias("end"), (i % 2 == 1).alias("hit")))
+            return F.transform(F.filter(every, lambda h: h["hit"] & (h["end"] > h["start"])), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
 
-        return F.transform(found, lambda m, i: let(at(i), lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"))))
+        return let(running(F.transform(parts, lambda p: F.length(p))), placed)
 
-    return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), spans)
+    marked = F.regexp_replace(F.replace(text, F.lit(_CUT), F.lit(" ")), regex, F.lit(f"{_CUT}$0{_CUT}") if isinstance(regex, Column) else f"{_CUT}$0{_CUT}")
+    return let(F.split(marked, _CUT), spans)
 
 
 def clause(text: Column, start: Column, end: Column, markers: str) -> Column:

@@ -49,16 +49,14 @@ def adjacent_windows(spark, sf_dir):
 
 
 def pattern_hits(spark, sf_dir):
-    """Hits of two rules' triggers in every sentence."""
-    rules = [r for r in matching.usable(DEMO_RULES) if r.id in ("risk_free_is", "risk_on_was")]
-    found = matching.with_windows(_texts(spark, sf_dir)).select("doc_id", F.explode_outer(F.filter("_windows", lambda w: ~w["pair"])).alias("w")).where("w IS NOT NULL")
-    out = None
-    for r in rules:
-        patterns = r.regexes("trigger", DEMO_PACK)
-        hits = found.where(F.col("w.text").rlike(matching.any_of(patterns))).select("doc_id", F.lit(r.id).alias("rule_id"), F.col("w.idx").alias("idx"), F.explode(matching.role_hits(F.col("w.text"), patterns)).alias("h"))
-        hits = hits.select("doc_id", "rule_id", "idx", F.col("h.pattern").alias("pattern"), F.col("h.start").alias("hs"), F.col("h.end").alias("he"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """Hits of all patterns of all usable rules, in every window that the rule looks at."""
+    rules = matching.usable(DEMO_RULES)
+    found = matching.with_windows(_texts(spark, sf_dir)).select("doc_id", F.explode_outer("_windows").alias("w")).where("w IS NOT NULL")
+    every = lambda r: [p for role in matching.ROLES for p in r.regexes(role, DEMO_PACK)]
+    looks = lambda r: F.col("w.text").rlike(matching.any_of(every(r))) & (F.lit(True) if matching.of_paragraphs(r, DEMO_PACK) else ~F.col("w.pair"))
+    tried = found.withColumn("r", F.explode(F.array_compact(F.array(*(F.when(looks(r), F.struct(F.lit(r.id).alias("id"), matching.tagged_patterns(r, DEMO_PACK).alias("patterns"))) for r in rules)))))
+    hits = tried.select("doc_id", F.col("r.id").alias("rule_id"), F.col("w.idx").alias("idx"), F.explode(matching.tagged_hits(F.col("w.text"), F.col("r.patterns"))).alias("h"))
+    return hits.select("doc_id", "rule_id", F.col("h.role").alias("role"), "idx", F.col("h.pattern").alias("pattern"), F.col("h.start").alias("hs"), F.col("h.end").alias("he"))
 
 
 def combination_candidates(spark, sf_dir):
@@ -143,7 +141,7 @@ def oracle_sql() -> dict[str, str]:
         "text_fingerprint": f"SELECT doc_id, sha256(text) AS sha256, substring(text, 1, {privacy.MAX_CHARS}) AS head, length(text)::BIGINT AS units FROM documents",
         "sentence_split": S.chain(S.SENTENCES) + " SELECT doc_id, sid, st, en, par, s AS sentence FROM sent",
         "adjacent_windows": S.chain(S.SENTENCES, S.WINDOWS) + " SELECT doc_id, idx, pair, st, en, length(wt)::INT AS n_chars FROM win",
-        "pattern_hits": S.chain(S.SENTENCES, S.WINDOWS, S.hits_sql()) + " SELECT doc_id, rule_id, idx, pattern, hs, he FROM hit WHERE role = 'trigger' AND rule_id IN ('risk_free_is', 'risk_on_was')",
+        "pattern_hits": S.chain(S.SENTENCES, S.WINDOWS, S.hits_sql()) + " SELECT DISTINCT doc_id, rule_id, role, idx, pattern, hs, he FROM hit",
         "combination_candidates": S.chain(*matched[:4]) + f" SELECT doc_id, rule_id, gap, envelope, start, end_at, trigger, context, window_no FROM cand c WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = c.doc_id AND c.rule_id IN ('risk_and_this', 'risk_with_for') AND regexp_matches({S.squeezed('x.text')}, '{DEMO_PACK.bare_amount}') AND NOT regexp_matches({S.squeezed('x.text')}, '{DEMO_PACK.sparing}'))",
         "best_matches": S.chain(*matched) + " SELECT doc_id, rank, rule_id, category, score, gap, envelope, trigger, context, start, t_start, t_end, c_start, c_end, s_start, s_end FROM m",
         "category_scores": S.chain(*scored) + " SELECT doc_id, category, score, rule_ids FROM cat",
