@@ -220,7 +220,8 @@ def hit_spans(text: Column, regex: str | Column) -> Column:
             every = F.transform(ends, lambda e, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("start"), e.alias("end"), (i % 2 == 1).alias("hit")))
             return F.transform(F.filter(every, lambda h: h["hit"] & (h["end"] > h["start"])), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
 
-        return let(running(F.transform(parts, lambda p: F.length(p))), placed)
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        return F.when(F.size(parts) > 1, let(running(F.transform(parts, lambda p: F.length(p))), placed)).when(parts.isNotNull(), none)
 
     marked = F.regexp_replace(F.replace(text, F.lit(_CUT), F.lit(" ")), regex, F.lit(f"{_CUT}$0{_CUT}") if isinstance(regex, Column) else f"{_CUT}$0{_CUT}")
     return let(F.split(marked, _CUT), spans)
