@@ -44,7 +44,7 @@ MAX_LENGTHS = 16
 PLANES = 8
 #: So many counts of cells are sent to all tasks at most; more are joined in a shuffle.
 MAX_SENT = 1 << 18
-CELL_ROWS = 512
+CELL_ROWS = 4096
 #: Share of neighbours at the very threshold that the visited cells hold.
 TARGET_RECALL = 0.99
 CALIBRATE_ROWS = 2000
