@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: More strata than this are no sample's.
+MAX_STRATA = 200
 DOMAINS = ("health", "finance", "education", "legal", "privacy", "general")
 _DOMAIN_WORDS = (("health", "health|medic|cure|beauty"), ("finance", "financ|invest|loan|money"), ("education", "educat|school|exam"), ("legal", "legal|law|court"), ("privacy", "privacy|surveil|tracking"), ("general", "general|other|retail"))
 
@@ -62,21 +64,45 @@ def nearest_rank(frame: DataFrame, value: str, share: float, *by: str) -> DataFr
     return frame.groupBy(*by).agg(F.coalesce(one, F.lit(0.0)).alias("at_rank"), F.count(value).alias("n"))
 
 
-def stratified(frame: DataFrame, strata: list[str], order: str, sizes: int, text: str = "text") -> DataFrame:
-    """The first rows of each stratum by order; a text is used once: its first row in order of strata.
+def stratified(frame: DataFrame, strata: list[str], order: str, sizes: int | dict[str, int], text: str = "text", strict: bool = False) -> DataFrame:
+    """The first rows of each stratum by order, with their rank. Strata go in order, and a text that
+    one of them has taken is not taken again, by itself or by a later one.
 
-    A stratum's first rows come from a rank that Spark limits inside each task first.
+    sizes is a number, or a number by the value of the last stratum column; with strict a stratum
+    that comes out short is an error. Each stratum is one distributed top-n, and what is selected,
+    a sample of the sizes, is all that the driver holds.
     """
-    first = frame.withColumn("_t", F.row_number().over(Window.partitionBy(F.sha2(text, 256)).orderBy(*strata, order))).where("_t = 1").drop("_t")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(*strata).orderBy(order))).where(F.col("rank") <= sizes)
+    known = [tuple(r) for r in frame.select(*strata).distinct().orderBy(*strata).limit(MAX_STRATA + 1).collect()]
+    if len(known) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    taken: list[str] = []
+    rows: list[tuple] = []
+    keyed = frame.withColumn("_h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    first = F.row_number().over(Window.partitionBy("_h").orderBy(order))
+    for values in known:
+        mine = keyed
+        for c, v in zip(strata, values, strict=True):
+            mine = mine.where(F.col(c).eqNullSafe(F.lit(v)))
+        size = sizes if isinstance(sizes, int) else sizes.get(values[-1], 0)
+        fresh = mine.where(~F.col("_h").isin(taken)) if taken else mine
+        found = fresh.withColumn("_t", first).where("_t = 1").orderBy(order).limit(size).collect()
+        if strict and len(found) < size:
+            raise ValueError(f"stratum {values} has {len(found)} rows where {size} are due")
+        taken += [r["_h"] for r in found]
+        rows += [(*(r[c] for c in frame.columns), k) for k, r in enumerate(found, 1)]
+    return frame.sparkSession.createDataFrame(rows, frame.withColumn("rank", F.lit(1)).schema)
 
 
 def leaked(fresh: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of fresh any of whose columns stands in one of known's, whatever its case and spaces."""
+    """Rows of fresh, repeated ones too, any of whose columns stands in one of known's, whatever its case and spaces."""
     clean = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     values = known.select(F.explode(F.array(*(clean(F.col(c).cast("string")) for c in columns if c in known.columns))).alias("v")).where("v <> ''").distinct()
-    tried = fresh.select("*", F.explode(F.array_distinct(F.array(*(clean(F.col(c).cast("string")) for c in columns if c in fresh.columns)))).alias("v"))
-    return tried.join(values, "v", "left_semi").drop("v").dropDuplicates()
+    own = [c for c in columns if c in fresh.columns]
+    found, hit = fresh, F.lit(False)
+    for k, c in enumerate(own):  # one join a column, so a row stays one row
+        found = found.withColumn(f"_v{k}", clean(F.col(c).cast("string"))).join(values.select(F.col("v").alias(f"_v{k}"), F.lit(True).alias(f"_hit{k}")), f"_v{k}", "left")
+        hit = hit | F.coalesce(f"_hit{k}", F.lit(False))
+    return found.where(hit).select(*fresh.columns)
 
 
 def consistent(runs: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -117,3 +143,54 @@ def table_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 def facet(frame: DataFrame, column: str) -> DataFrame:
     return frame.groupBy(F.trim(column).alias("name")).agg(F.count("*").alias("n")).where("name <> ''")
+
+
+# ---- blocks of a release report ----------------------------------------------------------------
+
+
+def distribution(frame: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """(value, n) of each value of a fixed domain, those that do not occur with 0."""
+    one = frame.agg(*(F.count_if(F.col(column) == v).alias(f"n{k}") for k, v in enumerate(values)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(f"n{k}").alias("n")) for k, v in enumerate(values)))).alias("x")).select("x.*")
+
+
+def recall_by_domain(cases: DataFrame) -> DataFrame:
+    """(domain, risky, found, recall) of each fixed domain; no risky case, no recall."""
+    risky = F.col("expected") == "risky"
+    one = cases.agg(*(c for k, d in enumerate(DOMAINS) for c in (F.count_if(risky & (F.col("domain") == d)).alias(f"n{k}"), F.count_if(risky & (F.col("domain") == d) & (F.col("status") != "no_match")).alias(f"f{k}"))))
+    rows = F.array(*(F.struct(F.lit(d).alias("domain"), F.col(f"n{k}").alias("risky"), F.col(f"f{k}").alias("found")) for k, d in enumerate(DOMAINS)))
+    return one.select(F.explode(rows).alias("x")).select("x.*").withColumn("recall", rate(F.col("found"), F.col("risky")))
+
+
+def failing(cases: DataFrame, key: str) -> DataFrame:
+    """(verdict, key) of the cases that fail: rows, so that no list of all grows in one cell."""
+    return cases.withColumn("verdict", verdict(F.col("expected"), F.col("status"))).where("verdict = 'FAIL'").select("verdict", key)
+
+
+def failure_type(expected: Column, status: Column, score: Column, low: Column, high: Column) -> Column:
+    """Why a case fails, null where it passes: missed, false alarm, called high, or a score out of its range."""
+    return (
+        F.when((expected == "risky") & (status == "no_match"), "false_negative")
+        .when((expected == "safe") & (status != "no_match"), "false_positive")
+        .when((expected == "ambiguous") & (status == "high"), "over_confident")
+        .when((score < low) | (score > high), "score_mismatch")
+    )
+
+
+def before_after(base: DataFrame, rerun: DataFrame, key: str) -> DataFrame:
+    """(key, before, after, changed, improved) of the cases that were run again."""
+    rank = lambda v: F.element_at(F.create_map(F.lit("PASS"), F.lit(2), F.lit("REVIEW"), F.lit(1), F.lit("FAIL"), F.lit(0)), v)
+    both = base.select(key, F.col("verdict").alias("before")).join(rerun.select(key, F.col("verdict").alias("after")), key)
+    return both.withColumns({"changed": F.col("before") != F.col("after"), "improved": rank(F.col("after")) > rank(F.col("before"))})
+
+
+def false_high_in_context(cases: DataFrame) -> DataFrame:
+    """How many safe cases are called high though the annotated or the predicted act is a warning or criticism."""
+    acts = ("warning", "criticism")
+    test = (F.col("expected") == "safe") & (F.col("status") == "high") & (F.coalesce(F.col("annotated_act").isin(*acts), F.lit(False)) | F.coalesce(F.col("predicted_act").isin(*acts), F.lit(False)))
+    return cases.agg(F.count_if(test).alias("n"))
+
+
+def means(frame: DataFrame, *columns: str) -> DataFrame:
+    """The average of each column, rounded to nine places; null for no rows."""
+    return frame.agg(*(F.round(F.avg(c), 9).alias(f"mean_{c}") for c in columns))

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import evaluate, fusion, rulebook
+from loomspan import schemas
+from loomspan.functions import text as T
+from loomspan.operators import evaluate, fusion, privacy, rulebook, store
+from loomspan.plans.matching_sql import squeezed as squeezed_sql
+from loomspan.sources.tables import table as _table
 from loomspan.streaming import cache
 
 
-def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- rule books --------------------------------------------------------------------------
 
 _COLUMNS = ["id", "revision", "category", "severity_floor"]
@@ -201,13 +201,132 @@ def ttl_cache_hits(spark, sf_dir):
     return cache.cache_hits(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), at.alias("at")), 86_400.0)
 
 
+# ---- the store and the release report ------------------------------------------------------------
+
+
+def book_counters(spark, sf_dir):
+    return store.counters(_book(spark, sf_dir))
+
+
+def library_filter(spark, sf_dir):
+    return store.library(_book(spark, sf_dir), status="reviewed", query="BRAND#1").select("id", "category")
+
+
+def size_limits(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", store.within_limits(F.col("text"), F.col("text")).alias("issue"))
+
+
+def replay_log(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents", "doc_id", "text").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return store.replay_log(d.select("text", F.col("quality").cast("string").alias("payload"), (F.col("toxic") == 0).alias("ok"), F.col("doc_id").alias("seq")))
+
+
+def labels_repaired(spark, sf_dir):
+    """Labels whose confidence cell holds a reason for every third document, and overrides for every tenth."""
+    c = _cases(spark, sf_dir).withColumn("case_id", F.col("doc_id"))
+    labels = c.select("case_id", "expected", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("low").alias("confidence"), F.lit("as read").alias("reason"))
+    return store.repaired(labels, c.where("doc_id % 10 = 0").select("case_id", F.lit("ambiguous").alias("expected"), F.lit("looked at again").alias("reason")))
+
+
+def status_distribution(spark, sf_dir):
+    return evaluate.distribution(_cases(spark, sf_dir), "status", ("no_match", "review", "attention", "high"))
+
+
+def recall_by_domain(spark, sf_dir):
+    return evaluate.recall_by_domain(_cases(spark, sf_dir).withColumn("domain", evaluate.domain_of(F.col("text"))))
+
+
+def failing_cases(spark, sf_dir):
+    return evaluate.failing(_cases(spark, sf_dir), "doc_id")
+
+
+def failure_types(spark, sf_dir):
+    c = _cases(spark, sf_dir).withColumn("score", (F.col("doc_id") % 101).cast("double"))
+    kind = evaluate.failure_type(F.col("expected"), F.col("status"), F.col("score"), F.lit(0.0), F.lit(90.0))
+    return c.groupBy(kind.alias("failure_type")).agg(F.count("*").alias("n"))
+
+
+def before_after(spark, sf_dir):
+    """Verdicts as they are, and as they would be if every document of an even id were called no_match."""
+    c = _cases(spark, sf_dir)
+    judged = lambda status: c.select("doc_id", evaluate.verdict(F.col("expected"), status).alias("verdict"))
+    again = judged(F.when(F.col("doc_id") % 2 == 0, "no_match").otherwise(F.col("status"))).where("doc_id % 2 = 0")
+    return evaluate.before_after(judged(F.col("status")), again, "doc_id")
+
+
+def mean_values(spark, sf_dir):
+    return evaluate.means(_table(spark, sf_dir, "documents"), "n_chars")
+
+
+# ---- the classifier's payloads -------------------------------------------------------------------
+
+
+def mock_payload(spark, sf_dir):
+    d = fusion.classify_mock(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return d.select("doc_id", "speech_act", "claim_target", "claim_strength", "policy_relevance", F.col("confidence").cast("double").alias("confidence"))
+
+
+def payload_errors(spark, sf_dir):
+    """Payloads made from the mock classifier, some of them broken by the document's number, and what is wrong with them."""
+    d = fusion.classify_mock(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    n = F.col("doc_id")
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    fields = {
+        "schema_version": F.when(n % 7 == 0, "1.0.0").otherwise(schemas.PAYLOAD_VERSION), "risk_intent": F.lit("uncertain"), "speech_act": F.col("speech_act"), "claim_target": F.col("claim_target"), "context_relation": F.lit("unclear"),
+        "actor": F.when(n % 5 == 0, "nobody").otherwise("unknown"), "claim_strength": F.col("claim_strength"), "policy_relevance": F.lit("none"), "risk_family": F.lit("none"), "confidence": F.when(n % 3 == 0, 1.5).otherwise(0.5),
+        "evidence_spans": none, "policy_reason": F.lit("UNCERTAIN_INTENT"),
+    }
+    raw = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    rows = d.select("doc_id", F.when(n % 11 == 0, "[]").otherwise(raw).alias("raw"), F.lit("").alias("text"))
+    errors = privacy.payload_errors(F.col("raw"), F.col("text"), F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    return rows.select("doc_id", F.array_join(errors, "|").alias("errors"))
+
+
+def normalize_nfkc(spark, sf_dir):
+    """The normal form of every text written in full-width letters and digits, some with a character without width."""
+    d = _table(spark, sf_dir, "documents", "doc_id", "text")
+    narrow = "".join(chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123)))
+    wide = F.translate("text", narrow, "".join(chr(ord(c) + 0xFEE0) for c in narrow))
+    return d.select("doc_id", T.squeezed_nfkc(F.concat(F.lit("\u200b"), wide)).alias("normalized"))
+
+
 def queries():
-    return {f.__name__: f for f in (import_preview, import_summary, merge_final, export_trend_context, export_severity, hybrid_decision, replay_join, eval_by_slice, eval_confusion, eval_gates, p95_nearest_rank, stratified_sample, leakage_semi_join, repeat_consistency, csv_profile, source_facet, ttl_cache_hits)}
+    return {f.__name__: f for f in (mock_payload, payload_errors, normalize_nfkc, book_counters, library_filter, size_limits, replay_log, labels_repaired, status_distribution, recall_by_domain, failing_cases, failure_types, before_after, mean_values, import_preview, import_summary, merge_final, export_trend_context, export_severity, hybrid_decision, replay_join, eval_by_slice, eval_confusion, eval_gates, p95_nearest_rank, stratified_sample, leakage_semi_join, repeat_consistency, csv_profile, source_facet, ttl_cache_hits)}
+
+
+def _stratified_sql(sizes: int = 4, most: int = 40) -> str:
+    """Greedy over the strata in order, one step for each, for as many strata at least."""
+    steps = []
+    for k in range(1, most + 1):
+        taken = "".join(f" AND text NOT IN (SELECT text FROM p{j})" for j in range(1, k))
+        steps.append(f"p{k} AS (SELECT * EXCLUDE (t), row_number() OVER (ORDER BY doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS t FROM s WHERE st = {k}{taken}) WHERE t = 1 QUALIFY row_number() OVER (ORDER BY doc_id) <= {sizes})")
+    every = " UNION ALL ".join(f"SELECT lang, expected, rank, doc_id FROM p{k}" for k in range(1, most + 1))
+    return f"WITH {_CASES}, s AS (SELECT doc_id, lang, expected, coalesce(text, '') AS text, dense_rank() OVER (ORDER BY lang NULLS FIRST, expected) AS st FROM c), " + ", ".join(steps) + f" SELECT lang, expected, rank::BIGINT AS rank, doc_id FROM ({every})"
+
+
+_VERDICT = "CASE expected WHEN 'risky' THEN CASE WHEN STATUS <> 'no_match' THEN 'PASS' ELSE 'FAIL' END WHEN 'safe' THEN CASE WHEN STATUS = 'no_match' THEN 'PASS' ELSE 'FAIL' END ELSE CASE WHEN STATUS = 'high' THEN 'FAIL' ELSE 'REVIEW' END END"
 
 
 def oracle_sql():
+    domain = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{w}') THEN '{d}'" for d, w in evaluate._DOMAIN_WORDS) + " ELSE 'unclassified' END"
+    judged = lambda status: _VERDICT.replace("STATUS", status)
+    rank = lambda v: f"CASE {v} WHEN 'PASS' THEN 2 WHEN 'REVIEW' THEN 1 ELSE 0 END"
     clean = lambda x: f"lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
     return {
+        "normalize_nfkc": f"SELECT doc_id, {squeezed_sql('text')} AS normalized FROM documents",
+        "payload_errors": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'not_an_object' ELSE concat_ws('|', CASE WHEN doc_id % 3 = 0 THEN 'confidence' END, CASE WHEN doc_id % 5 = 0 THEN 'value:actor' END, CASE WHEN doc_id % 7 = 0 THEN 'version' END) END AS errors FROM documents",
+        "book_counters": f"WITH {_BOOK} SELECT count_if(review_status = 'reviewed') AS reviewed, count_if(review_status = 'draft') AS draft, count_if(review_status = 'rejected') AS rejected, count_if(review_status = 'reviewed' AND dominant_risk) AS dominant FROM b",
+        "library_filter": f"WITH {_BOOK} SELECT id, category FROM b WHERE review_status = 'reviewed' AND contains(lower(id || ' ' || category), 'brand#1')",
+        "size_limits": f"SELECT doc_id, CASE WHEN octet_length(encode(text)) > {store.MAX_ANALYSIS} THEN 'payload_too_large' WHEN length(trim(text)) = 0 THEN 'text_empty' WHEN length(text) > {store.MAX_TEXT} THEN 'text_too_long' END AS issue FROM documents",
+        "replay_log": "SELECT sha256(text) AS input_hash, max_by(quality, d.doc_id)::VARCHAR AS payload FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic = 0 GROUP BY 1",
+        "labels_repaired": f"WITH {_CASES} SELECT doc_id AS case_id, CASE WHEN doc_id % 10 = 0 THEN 'ambiguous' ELSE expected END AS expected, CASE WHEN doc_id % 3 <> 0 THEN 'low' WHEN doc_id % 10 = 0 OR expected = 'ambiguous' THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN doc_id % 10 = 0 THEN 'looked at again' WHEN doc_id % 3 = 0 THEN coalesce(source, 'as read') ELSE 'as read' END AS reason FROM c",
+        "status_distribution": f"WITH {_CASES}, v AS (SELECT unnest(['no_match', 'review', 'attention', 'high']) AS value) SELECT value, count(status) AS n FROM v LEFT JOIN c ON status = value GROUP BY value",
+        "recall_by_domain": f"WITH {_CASES}, v AS (SELECT unnest({list(evaluate.DOMAINS)!r}) AS domain), x AS (SELECT {domain} AS domain, status FROM c WHERE expected = 'risky') SELECT v.domain, count(status) AS risky, count_if(coalesce(status <> 'no_match', FALSE)) AS found, round(count_if(coalesce(status <> 'no_match', FALSE)) / nullif(count(status), 0), 9)::DOUBLE AS recall FROM v LEFT JOIN x ON x.domain = v.domain GROUP BY v.domain",
+        "failing_cases": f"WITH {_CASES} SELECT 'FAIL' AS verdict, doc_id FROM c WHERE {judged('status')} = 'FAIL'",
+        "failure_types": f"WITH {_CASES} SELECT CASE WHEN expected = 'risky' AND status = 'no_match' THEN 'false_negative' WHEN expected = 'safe' AND status <> 'no_match' THEN 'false_positive' WHEN expected = 'ambiguous' AND status = 'high' THEN 'over_confident' WHEN doc_id % 101 > 90 THEN 'score_mismatch' END AS failure_type, count(*) AS n FROM c GROUP BY 1",
+        "before_after": f"WITH {_CASES}, x AS (SELECT doc_id, {judged('status')} AS before, {judged(chr(39) + 'no_match' + chr(39))} AS after FROM c WHERE doc_id % 2 = 0) SELECT doc_id, before, after, before <> after AS changed, {rank('after')} > {rank('before')} AS improved FROM x",
+        "mean_values": "SELECT round(avg(n_chars), 9) AS mean_n_chars FROM documents",
         "import_preview": f"WITH {_BOOK} SELECT * FROM k",
         "import_summary": f"WITH {_BOOK} SELECT count_if(kind = 'new') AS new, count_if(kind = 'same') AS same, count_if(kind = 'update') AS \"update\", count_if(kind = 'conflict') AS conflict, count_if(kind = 'conflict') AS skipped, (SELECT count(*) FROM b) + count_if(kind = 'new') AS final_count FROM k",
         "merge_final": f"WITH {_BOOK}, x AS (SELECT id FROM k WHERE kind IN ('new', 'update')) SELECT id, revision, category, severity_floor FROM b WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT id, revision, category, severity_floor FROM i WHERE id IN (SELECT id FROM x)",
@@ -219,8 +338,8 @@ def oracle_sql():
         "eval_confusion": f"WITH {_CASES} SELECT expected, status, CASE expected WHEN 'risky' THEN CASE WHEN status <> 'no_match' THEN 'PASS' ELSE 'FAIL' END WHEN 'safe' THEN CASE WHEN status = 'no_match' THEN 'PASS' ELSE 'FAIL' END ELSE CASE WHEN status = 'high' THEN 'FAIL' ELSE 'REVIEW' END END AS verdict, count(*) AS n FROM c GROUP BY ALL",
         "eval_gates": f"WITH {_CASES}, m AS (SELECT {_METRICS} FROM c) SELECT recall >= 0.3 AS recall__min, false_high_rate <= 0.5 AS false_high_rate__max, review_rate <= 0.1 AS review_rate__max, recall >= 0.3 AND false_high_rate <= 0.5 AND review_rate <= 0.1 AS passed FROM m",
         "p95_nearest_rank": "SELECT event_type, quantile_disc(value, 0.95) AS at_rank, count(value) AS n FROM events GROUP BY event_type",
-        "stratified_sample": f"WITH {_CASES}, f AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY lang, expected, doc_id) AS t FROM c), g AS (SELECT *, row_number() OVER (PARTITION BY lang, expected ORDER BY doc_id) AS rank FROM f WHERE t = 1) SELECT lang, expected, rank, doc_id FROM g WHERE rank <= 4",
-        "leakage_semi_join": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), i AS (SELECT DISTINCT {clean('x')} AS v FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark)), h AS (SELECT DISTINCT doc_id, text FROM l WHERE {clean('text')} <> '' AND {clean('text')} IN (SELECT v FROM i)) SELECT doc_id, count(*) AS n_lines FROM h GROUP BY doc_id",
+        "stratified_sample": _stratified_sql(),
+        "leakage_semi_join": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents), i AS (SELECT DISTINCT {clean('x')} AS v FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark)), h AS (SELECT doc_id, text FROM l WHERE {clean('text')} <> '' AND {clean('text')} IN (SELECT v FROM i)) SELECT doc_id, count(*) AS n_lines FROM h GROUP BY doc_id",
         "repeat_consistency": "SELECT conv_id, count(*) AS n_runs, count(DISTINCT role) = 1 AS consistent FROM conversations GROUP BY conv_id",
         "csv_profile": f"WITH k AS (SELECT {clean('text')} AS v, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS total, sum(CASE WHEN v <> '' THEN n ELSE 0 END)::BIGINT AS valid, sum(CASE WHEN v = '' THEN n ELSE 0 END)::BIGINT AS invalid, sum(CASE WHEN v <> '' THEN n - 1 ELSE 0 END)::BIGINT AS duplicates FROM k",
         "source_facet": "SELECT trim(source) AS name, count(*) AS n FROM documents WHERE trim(source) <> '' GROUP BY 1",
