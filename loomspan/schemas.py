@@ -7,7 +7,7 @@ RULE_VERSION, PAYLOAD_VERSION = "2.0.0", "1.1.0"
 SOURCE = "struct<title:string,url:string,date:string,source_id:string,provenance_status:string>"
 CONDITIONS = "struct<all_of:array<struct<group_id:string,any_of:array<string>>>,any_of:array<string>,none_of:array<string>,scope:string,max_distance:int>"
 
-#: A rule as it is exported and stored.
+#: A rule as it is exported and stored.
 RULE = (
     f"schema_version string, revision int, id string, category string, subcategory string, pattern_type string, conditions {CONDITIONS}, "
     "surface_meaning string, risk_summary string, social_context string, legal_or_ethic_issue string, risk_reason string, severity_floor double, "
@@ -30,6 +30,7 @@ POLICY = (
     "grade_thresholds array<struct<grade:string,min:double,max:double>>"
 )
 
+# The keys of a payload.
 PAYLOAD_KEYS = (
     "schema_version", "risk_intent", "speech_act", "claim_target", "context_relation", "actor", "claim_strength", "policy_relevance", "risk_family",
     "confidence", "evidence_spans", "policy_reason",
@@ -39,10 +40,10 @@ PAYLOAD = ", ".join(f"{k} string" for k in PAYLOAD_KEYS if k not in ("confidence
 # What each field of a payload may say.
 PAYLOAD_VALUES = {
     "risk_intent": ("direct_promotional", "contextual_only", "uncertain"),
-    "speech_act": ("claim", "warning", "criticism", "report", "quote", "definition", "condition"),
+    "speech_act": ("claim", "quote", "warning", "criticism", "report", "definition", "condition"),
     "claim_target": ("health", "finance", "education", "legal", "privacy", "general", "none"),
     "context_relation": ("supports", "negates", "warns_about", "reports", "defines", "conditions", "unclear"),
-    "actor": ("advertiser", "regulator", "reporter", "consumer", "unknown"),
+    "actor": ("advertiser", "reporter", "regulator", "consumer", "unknown"),
     "claim_strength": ("absolute", "strong", "limited", "none", "unclear"),
     "policy_relevance": ("none", "substantiation", "potentially_high", "uncertain"),
     "risk_family": ("health_claim", "financial_guarantee", "income_claim", "education_outcome", "legal_outcome", "privacy_intrusion", "urgency", "general_substantiation", "none"),
