@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,7 +179,12 @@ def test_cache_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 900.0), ("a", 3, 901.0), ("b", 4, 5.0)], "key string, id long, at double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    cache.cache_hits_stream(stream).writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    # A stream with timeouts goes on for ever: it is stopped when it has taken all that is there.
+    query = cache.cache_hits_stream(stream).writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 40
+    while spark.table("hits").count() < 4 and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
     assert [r["hit"] for r in spark.table("hits").orderBy("id").collect()] == [False, True, False, False]
 
 
