@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,16 +21,32 @@ def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     return frame.where(F.concat_ws("", *frame.columns) != "")
 
 
+_CSV_PIECES = re.compile(r'""|"|,|\r\n|\r|\n|[^",\r\n]+')
+
+
 def parse_csv(text: str) -> list[list[str]]:
-    """Rows of one small CSV text: ragged rows stay, rows without any character go."""
-    rows = csv.reader(io.StringIO(text.lstrip("﻿"), newline=""), strict=False)
+    """Rows of one small CSV text: a quote toggles wherever it stands, two inside quotes are one; ragged
+    rows stay, rows without any character go, and an open quote takes the rest."""
+    rows, row, cell, inside = [], [], [], False
+    for piece in _CSV_PIECES.findall(text.lstrip("\ufeff")):
+        if piece == '""':
+            cell += ['"'] if inside else []
+        elif piece == '"':
+            inside = not inside
+        elif inside or piece[0] not in ",\r\n":
+            cell.append(piece)
+        else:
+            row.append("".join(cell))
+            cell = []
+            if piece != ",":
+                rows.append(row)
+                row = []
+    rows.append([*row, "".join(cell)])
     return [r for r in rows if any(r)]
 
 
 def column_like(frame: DataFrame, pattern: str) -> str | None:
     """The first column whose name matches."""
-    import re
-
     return next((c for c in frame.columns if re.search(pattern, c, re.I)), None)
 
 
