@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import matching, privacy
+from loomspan.operators import evaluate, interpreter, matching, privacy
 from loomspan.operators.rules import DEMO_PACK, DEMO_RULES, Policy
 from loomspan.plans import book_queries, data_queries
 from loomspan.plans import matching_sql as S
@@ -110,6 +110,24 @@ def mask_pii_whole(spark, sf_dir):
     return found.select("doc_id", F.size("_r").cast("long").alias("n_ranges"), kinds.alias("ranges"), privacy.masked(F.col("text"), F.col("_r")).alias("masked"))
 
 
+def advice_texts(spark, sf_dir):
+    """What is said about a text: its first rule's reason under the speech act, a rewrite, and the advice."""
+    return _analyzed(spark, sf_dir).select("doc_id", "reason", "rewrite", "advice")
+
+
+def engine_eval(spark, sf_dir):
+    """The engine's own statuses against the labels, by slice."""
+    cases = data_queries._cases(spark, sf_dir).drop("status").join(flagship(spark, sf_dir).select("doc_id", "status"), "doc_id")
+    return evaluate.by_slice(cases, "source", "lang")
+
+
+def engine_hybrid(spark, sf_dir):
+    """Rules and cue words together, over every text. The runs' masks need look-around: no SQL."""
+    runs = interpreter.by_cue_words(_texts(spark, sf_dir))
+    d = F.col("decision")
+    return interpreter.hybrid(_analyzed(spark, sf_dir), runs, "doc_id").select("doc_id", "rules_status", "ok", d["status"].alias("status"), d["score"].alias("score"), F.array_join(d["reasons"], "|").alias("reasons"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {
         "final_scores": flagship,
@@ -126,6 +144,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mask_ranges_merged": mask_ranges_merged,
         "mask_pii_prepared": mask_pii_prepared,
         "mask_pii_whole": mask_pii_whole,
+        "advice_texts": advice_texts,
+        "engine_eval": engine_eval,
+        "engine_hybrid": engine_hybrid,
     }
     return own | data_queries.queries() | book_queries.queries()
 
@@ -146,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "best_matches": S.chain(*matched) + " SELECT doc_id, rank, rule_id, category, score, gap, envelope, trigger, context, start, t_start, t_end, c_start, c_end, s_start, s_end FROM m",
         "category_scores": S.chain(*scored) + " SELECT doc_id, category, score, rule_ids FROM cat",
         "grade_distribution": S.chain(*scored) + " SELECT grade, status, count(*) AS n, round(avg(final_score), 6) AS mean_score FROM scored GROUP BY grade, status",
+        "advice_texts": S.chain(*scored) + _advice_sql(),
+        "engine_eval": S.chain(*scored) + _engine_eval_sql(),
         "highlight_segments": S.chain(*matched) + _HIGHLIGHT,
         "mask_ranges_merged": f"""
 SELECT doc_id, len({found('text')})::BIGINT AS n_ranges,
@@ -154,6 +177,21 @@ FROM documents""",
     } | data_queries.oracle_sql() | book_queries.oracle_sql()
 
 
+def _advice_sql() -> str:
+    silent = "speech_act IN ('warning', 'criticism', 'quotation')"
+    prefix = "CASE speech_act WHEN 'condition' THEN 'Stated under conditions; check what they rest on. ' WHEN 'statement' THEN 'Stated as a fact; check its basis and scope. ' ELSE '' END"
+    reason = "CASE primary_rule " + " ".join(f"WHEN '{r.id}' THEN '{r.reason}'" for r in DEMO_RULES) + " END"
+    rewrite = "CASE primary_rule " + " ".join(f"WHEN '{r.id}' THEN '{r.rewrites[0]}'" for r in DEMO_RULES if r.rewrites) + " END"
+    return f""" SELECT doc_id, CASE WHEN n_matches > 0 AND NOT {silent} THEN trim({prefix} || {reason}) END AS reason, CASE WHEN n_matches > 0 AND NOT {silent} THEN {rewrite} END AS rewrite,
+ CASE WHEN n_matches = 0 THEN 'none_found' WHEN final_score >= 70 THEN 'revise' ELSE 'check' END AS advice FROM scored"""
+
+
+def _engine_eval_sql() -> str:
+    expected = "CASE WHEN toxic = 1 THEN 'risky' WHEN quality = 1 THEN 'safe' ELSE 'ambiguous' END"
+    return f""", judged AS (SELECT x.source, x.lang, {expected} AS expected, s.status FROM documents x JOIN labels l ON l.doc_id = x.doc_id JOIN scored s ON s.doc_id = x.doc_id)
+SELECT source, lang, {data_queries._METRICS} FROM judged GROUP BY GROUPING SETS ((), (source), (lang))"""
+
+
 _HIGHLIGHT = """,
 ev AS (SELECT doc_id, t_start AS a, t_end AS b, 'trigger' AS role FROM m WHERE rank = 1 UNION ALL SELECT doc_id, c_start, c_end, 'context' FROM m WHERE rank = 1
        UNION ALL SELECT doc_id, s_start, s_end, 'context' FROM m WHERE rank = 1 AND s_start IS NOT NULL),

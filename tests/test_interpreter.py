@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import schemas
-from loomspan.operators import interpreter, pilot
+from loomspan.operators import interpreter, matching, pilot
+from loomspan.operators.rules import Rule
 from loomspan.sources.files import parse_csv
 
 CLAIM = "We guarantee profit for everyone who invests."
@@ -140,3 +141,15 @@ def test_cases_and_smoke(spark):
 )
 def test_csv_texts(text, rows):
     assert parse_csv(text) == rows
+
+
+def test_hybrid(spark):
+    rule = Rule("risk_sure_gain", "finance", "sure + profit", ("guarantee",), ("profit",), severity_floor=85, confidence=0.9, domain="finance")
+    texts = spark.createDataFrame([(1, CLAIM), (2, "A quiet day."), (3, None)], "id int, text string")
+    analyzed = matching.analyze(texts, [rule])
+    runs = interpreter.by_cue_words(texts)
+    got = _by(interpreter.hybrid(analyzed, runs, "id"))
+    assert (got[1]["rules_status"], got[1]["decision"]["status"], got[1]["decision"]["score"]) == ("high", "high", 85.0)
+    assert got[2]["decision"]["status"] == got[3]["decision"]["status"] == "no_match" and got[3]["ok"]
+    lost = _by(interpreter.hybrid(analyzed, runs.where("id = 2"), "id"))
+    assert lost[1]["decision"]["status"] == "review" and lost[1]["decision"]["reasons"] == ["interpreter_provider_failed"] and lost[1]["decision"]["suppressed_high"] and not lost[3]["ok"]
