@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, embed_dedup, html_text, langid, materialise, mixing, ngram_join, packing, pii, quality
+from loomspan.llm import chat, embed_dedup, fim, html_text, langid, materialise, mixing, ngram_join, packing, pii, quality
 
 
 def queries():
@@ -17,8 +17,14 @@ def queries():
         "op8_feistel_shards": materialise.op8_feistel_shards,
         "op9_prefix_tree_join": ngram_join.op9_prefix_tree_join,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
     }
 
 
 def oracle_sql():
-    return {"op2_length_buckets": packing.OP2_SQL, "op3_quality_cascade": quality.OP3_SQL, "op4_raked_mixture": mixing.OP4_SQL}
+    return {
+        "op2_length_buckets": packing.OP2_SQL,
+        "op3_quality_cascade": quality.OP3_SQL,
+        "op4_raked_mixture": mixing.OP4_SQL,
+        "op11_fill_in_middle": fim.OP11_SQL,
+    }
