@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, embed_dedup, fim, html_text, langid, materialise, mixing, ngram_join, packing, pii, quality
+from loomspan.llm import chat, embed_dedup, fim, html_text, langid, materialise, mixing, ngram_join, packing, pii, prefix_trie, quality
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_prefix_tree_join": ngram_join.op9_prefix_tree_join,
         "op10_chat_format": chat.op10_chat_format,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql():
         "op3_quality_cascade": quality.OP3_SQL,
         "op4_raked_mixture": mixing.OP4_SQL,
         "op11_fill_in_middle": fim.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
     }
