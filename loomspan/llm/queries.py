@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, embed_dedup, fim, html_text, langid, materialise, mixing, ngram_join, packing, pii, prefix_trie, quality
+from loomspan.llm import chat, embed_dedup, fim, html_text, langid, materialise, mixing, mtree, ngram_join, packing, pii, prefix_trie, quality
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_chat_format": chat.op10_chat_format,
         "op11_fill_in_middle": fim.op11_fill_in_middle,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_mtree_search": mtree.op13_mtree_search,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql():
         "op4_raked_mixture": mixing.OP4_SQL,
         "op11_fill_in_middle": fim.OP11_SQL,
         "op12_prefix_trie": prefix_trie.OP12_SQL,
+        "op13_mtree_search": mtree.OP13_SQL,
     }
