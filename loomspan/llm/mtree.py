@@ -48,8 +48,8 @@ SAMPLE_ROWS = 20_000
 MAX_ROUTES = 256
 #: So many of the most frequent lengths have a root of their own; vectors of another are slices of one route.
 MAX_LENGTHS = 16
-TREE_ROWS = 4096
-PAGE_ROWS = 128
+TREE_ROWS = 8192
+PAGE_ROWS = 512
 FANOUT = 16
 QUERY_ROWS = 256
 #: So many counts of slices are sent to all tasks at most; more are joined in a shuffle.
@@ -132,6 +132,8 @@ class Page:
 
     def __post_init__(self):
         self.floats = self.vectors.astype(np.float64)
+        self.loose = self.square * (1 + 2 * _SLACK)
+        self.exact = float(self.square.max(initial=0)) * 2.0**-104  # times a query's: below 1, sums of products are exact in doubles
 
 
 def grown(x: np.ndarray, ids: list[list[int]], parent: np.ndarray, page_rows: int = PAGE_ROWS, fanout: int = FANOUT) -> list[Page]:
@@ -189,36 +191,42 @@ def best_first(pages: list[Page], q: np.ndarray, own: int | None, k: int, parent
 
     bound: a score that k rows elsewhere reach. One row with the query's vector and id ``own`` is left out.
     """
-    floats, square = q.astype(np.float64), float((q.astype(np.float64) ** 2).sum())
+    floats = q.astype(np.float64)
+    square = float(floats @ floats)
     best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
     computed, order = 1, [(-np.inf, 0, float(_distance(floats, parent)))]
-    slack = lambda squares: _SLACK * (square + squares) + 1e-3
 
-    def upper(least: np.ndarray, squares: np.ndarray) -> np.ndarray:
-        """Of scores, from lower bounds on distances."""
-        return (square + squares - np.maximum(least, 0) ** 2) / 2 + slack(squares)
+    def reach() -> float:
+        """What ``loose`` less the square of a lower bound on the distance must reach, for a score of the bound: 2 q·x = |q|² + |x|² - |q - x|²."""
+        return 2 * bound - square * (1 + 2 * _SLACK) - 2e-3
 
     while order:
         top, number, to_route = heapq.heappop(order)
-        if -top < bound:
+        if -top < reach():
             break
         page = pages[number]
-        radius = 0.0 if page.radius is None else page.radius
-        near = np.flatnonzero(upper(np.abs(to_route - page.to_parent) - radius, page.square) >= bound)
-        if not len(near):
-            continue
-        whole = len(near) == len(page.square)
-        computed += len(near)
+        least = np.abs(page.to_parent - to_route)
         if page.child is not None:
-            away = _distance(page.floats if whole else page.floats[near], floats)
-            for e, d, most in zip(near, away, upper(away - page.radius[near], page.square[near]), strict=True):
-                if most >= bound:
-                    heapq.heappush(order, (-float(most), int(page.child[e]), float(d)))
+            near = np.flatnonzero(page.loose - np.maximum(least - page.radius, 0) ** 2 >= reach())
+            away = _distance(page.floats[near], floats)
+            computed += len(near)
+            most = page.loose[near] - np.maximum(away - page.radius[near], 0) ** 2
+            for e, d, m in zip(near, away, most, strict=True):
+                if m >= reach():
+                    heapq.heappush(order, (-float(m), int(page.child[e]), float(d)))
+            continue
+        hopeful = page.loose - least * least >= reach()
+        n = int(np.count_nonzero(hopeful))
+        if not n:
             continue
-        exact = square * page.square.max() < float(1 << 104)  # sums of products are exact in doubles
-        rows, mine = (page.floats, floats) if exact else (page.vectors, q)
-        scores = (rows if whole else rows[near]) @ mine
+        rows, mine = (page.floats, floats) if page.exact * square < 1 else (page.vectors, q)
+        # Where most entries stand, leaving the others out costs more than their products.
+        near = np.flatnonzero(hopeful) if 2 * n < len(hopeful) else None
+        scores = (rows if near is None else rows[near]) @ mine
+        computed += len(scores)
         passed = np.flatnonzero(scores >= bound)
+        if near is None:
+            near = np.arange(len(scores)) if len(passed) else passed
         for e, score in sorted(((int(near[i]), int(scores[i])) for i in passed), key=lambda x: -x[1]):
             if score < bound:
                 break
