@@ -13,7 +13,8 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import regex
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -184,18 +185,37 @@ def literal_regex(pattern: str, suffixes: tuple[str, ...] = ()) -> str | None:
     return f"{first}(?<!{WORD}{first})" + "".join(f"{SPACE}*{w}" for w in more) + f"(?={tail}(?!{WORD}))"
 
 
-@lru_cache(maxsize=4096)
+#: Classes that Java reads as ASCII alone, outside and inside of brackets.
+_ASCII = {"w": ("[a-zA-Z0-9_]", "a-zA-Z0-9_"), "d": ("[0-9]", "0-9"), "s": (r"[ \t\n\x0B\f\r]", r" \t\n\x0B\f\r"), "W": ("[^a-zA-Z0-9_]", None), "D": ("[^0-9]", None), "S": (r"[^ \t\n\x0B\f\r]", None)}
+
+
+@lru_cache(maxsize=65536)
+def compiled(expression: str) -> regex.Pattern:
+    """A Java expression for tasks: classes that Java takes as ASCII are spelled out."""
+    out, k, inside = [], 0, False
+    while k < len(expression):
+        c = expression[k]
+        if c == "\\" and k + 1 < len(expression):
+            new = _ASCII.get(expression[k + 1], (None, None))[inside]
+            if inside and new is None and expression[k + 1] in "WDS":
+                raise ValueError(f"a negated class in brackets: {expression}")
+            out.append(new or expression[k : k + 2])
+            k += 2
+            continue
+        inside = (inside or c == "[") and not (inside and c == "]")
+        out.append(c)
+        k += 1
+    try:
+        return regex.compile("".join(out))
+    except regex.error as bad:
+        raise ValueError(f"an expression that only one of the two engines takes: {expression}") from bad
+
+
 def _runs(expression: str) -> bool:
-    """Whether the engine that runs the expression takes it, and it does not match the empty text."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:  # no engine to ask yet: Python's is close
-        try:
-            return re.search(expression, "") is None
-        except re.error:
-            return False
+    """Whether the tasks' engine takes the expression, and it does not match the empty text."""
     try:
-        return not spark._jvm.java.util.regex.Pattern.compile(expression).matcher("").find()
-    except Exception:  # the gateway's error holds Java's syntax error
+        return compiled(expression).search("") is None
+    except ValueError:
         return False
 
 

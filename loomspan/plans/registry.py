@@ -62,9 +62,8 @@ def pattern_hits(spark, sf_dir):
 def combination_candidates(spark, sf_dir):
     """All combinations within distance that no exclusion or guard drops."""
     rules = matching.usable(DEMO_RULES)
-    names = F.array(*(F.lit(r.id) for r in rules))
     found = matching.with_candidates(_texts(spark, sf_dir), rules, DEMO_PACK).select("doc_id", F.explode_outer("_candidates").alias("c")).where("c IS NOT NULL")
-    return found.select("doc_id", names[F.col("c.rule")].alias("rule_id"), *(F.col(f"c.{a}").alias(b) for a, b in (("gap", "gap"), ("envelope", "envelope"), ("start", "start"), ("end", "end_at"), ("trigger", "trigger"), ("context", "context"), ("window", "window_no"))))
+    return found.select("doc_id", F.col("c.rule_id").alias("rule_id"), *(F.col(f"c.{a}").alias(b) for a, b in (("gap", "gap"), ("envelope", "envelope"), ("start", "start"), ("end", "end_at"), ("trigger", "trigger"), ("context", "context"), ("window", "window_no"))))
 
 
 def best_matches(spark, sf_dir):
