@@ -194,6 +194,14 @@ def source_facet(spark, sf_dir):
     return evaluate.facet(_table(spark, sf_dir, "documents"), "source")
 
 
+def lru_cache_hits(spark, sf_dir):
+    """At most 256 entries over all keys, one sequence: SQL has no form of it; tests hold it against a loop."""
+    e = _table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    valid = F.col("event_type") != "error"
+    return cache.lru_hits(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), at.alias("at"), valid.alias("ok")), 172_800.0)
+
+
 def ttl_cache_hits(spark, sf_dir):
     """Sequential by key, so SQL has no form of it; tests hold it against a loop."""
     e = _table(spark, sf_dir, "events")
@@ -292,7 +300,7 @@ def normalize_nfkc(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (mock_payload, payload_errors, normalize_nfkc, book_counters, library_filter, size_limits, replay_log, labels_repaired, status_distribution, recall_by_domain, failing_cases, failure_types, before_after, mean_values, import_preview, import_summary, merge_final, export_trend_context, export_severity, hybrid_decision, replay_join, eval_by_slice, eval_confusion, eval_gates, p95_nearest_rank, stratified_sample, leakage_semi_join, repeat_consistency, csv_profile, source_facet, ttl_cache_hits)}
+    return {f.__name__: f for f in (mock_payload, payload_errors, normalize_nfkc, book_counters, library_filter, size_limits, replay_log, labels_repaired, status_distribution, recall_by_domain, failing_cases, failure_types, before_after, mean_values, import_preview, import_summary, merge_final, export_trend_context, export_severity, hybrid_decision, replay_join, eval_by_slice, eval_confusion, eval_gates, p95_nearest_rank, stratified_sample, leakage_semi_join, repeat_consistency, csv_profile, source_facet, lru_cache_hits, ttl_cache_hits)}
 
 
 def _stratified_sql(sizes: int = 4, most: int = 40) -> str:

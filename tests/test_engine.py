@@ -170,13 +170,44 @@ def test_decisions(spark):
 
 
 def test_cache_batch(spark):
-    rows = [("a", 1, 0.0), ("a", 2, 900.0), ("a", 3, 901.0), ("b", 4, 5.0), ("a", 5, 1000.0)]
-    got = cache.cache_hits(spark.createDataFrame(rows, "key string, id long, at double")).orderBy("id").collect()
-    assert [r["hit"] for r in got] == [False, True, False, False, True]
+    rows = [("a", 1, 0.0, True), ("a", 2, 899.0, True), ("a", 3, 900.0, False), ("b", 4, 5.0, True), ("a", 5, 1000.0, True), ("a", 6, 1899.5, None)]
+    got = cache.cache_hits(spark.createDataFrame(rows, "key string, id long, at double, ok boolean")).orderBy("id").collect()
+    # Exactly as old as the time to live is a miss, and an invalid result is not stored.
+    assert [r["hit"] for r in got] == [False, True, False, False, False, True]
+
+
+def plain_cache(rows, ttl, most):
+    """One loop over all requests, as a list of [key, expires], the least recently used first."""
+    held, out = [], {}
+    for at, number, key, ok in sorted((r[2], r[1], r[0], r[3]) for r in rows if r[0] is not None and r[2] is not None):
+        entry = next((e for e in held if e[0] == key), None)
+        if entry:
+            held.remove(entry)
+        if entry and entry[1] > at:
+            held.append(entry)
+            out[number] = True
+            continue
+        out[number] = False
+        if ok:
+            held = [e for e in held if e[1] > at]
+            held = held[max(0, len(held) - most + 1) :] + [[key, at + ttl]]
+    return out
+
+
+@pytest.mark.parametrize(("ttl", "most", "ranges", "keys"), [(50, 4, 5, 8), (1000, 3, 7, 5), (10, 256, 4, 30), (400, 40, 9, 60), (5, 1, 1, 3)])
+def test_lru_cache_is_one_loop(spark, ttl, most, ranges, keys):
+    rng = random.Random(ttl)
+    rows = [(str(int(rng.paretovariate(0.8)) % keys), k, float(rng.randint(0, 600)), rng.random() < 0.9) for k in range(900)]
+    rows += [(None, 1000, 5.0, True), ("1", 1001, None, True)]
+    frame = spark.createDataFrame(rows, "key string, id long, at double, ok boolean").repartition(3)
+    got = {r["id"]: r["hit"] for r in cache.lru_hits(frame, ttl, most, ranges).collect()}
+    want = plain_cache(rows, ttl, most)
+    assert got == want and len(set(want.values())) == 2
+    assert cache.lru_hits(frame.limit(0), ttl, most, ranges).count() == 0
 
 
 def test_cache_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 900.0), ("a", 3, 901.0), ("b", 4, 5.0)], "key string, id long, at double")
+    rows = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 899.0), ("a", 3, 900.0), ("b", 4, 5.0)], "key string, id long, at double")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     # A stream with timeouts goes on for ever: it is stopped when it has taken all that is there.
