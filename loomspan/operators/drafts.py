@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan import schemas
 from loomspan.functions.text import squeezed
+from loomspan.operators import ranks
 
 #: What a draft says where no rule matched its text; a language pack may give other words.
 TEMPLATE = {
@@ -75,9 +76,10 @@ def patched(base: DataFrame, sources: DataFrame, overrides: DataFrame, tag: str,
 
 
 def numbered(cases: DataFrame, order: str, prefix: str = "FB", width: int = 3) -> DataFrame:
-    """case_id by order. A frozen set is small: one that the width cannot number is an error."""
-    n = F.row_number().over(Window.orderBy(order))
-    return cases.withColumn("case_id", F.when(n < 10**width, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).otherwise(F.raise_error(F.lit("too many cases for the width"))))
+    """case_id by order. A set that the width cannot number is an error."""
+    n = F.col("_n")
+    given = F.when(n < 10**width, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).otherwise(F.raise_error(F.lit("too many cases for the width")))
+    return ranks.numbered(cases, order, "_n").withColumn("case_id", given).drop("_n")
 
 
 def set_checks(cases: DataFrame, sizes: dict[str, int], least_sources: int, source_cap: int, domains: tuple[str, ...]) -> DataFrame:

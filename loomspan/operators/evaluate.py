@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More strata than this are no sample's.
-MAX_STRATA = 200
+from loomspan.operators.ranks import first_rows, nearest_rank as nearest_rank
+
 DOMAINS = ("health", "finance", "education", "legal", "privacy", "general")
 _DOMAIN_WORDS = (("health", "health|medic|cure|beauty"), ("finance", "financ|invest|loan|money"), ("education", "educat|school|exam"), ("legal", "legal|law|court"), ("privacy", "privacy|surveil|tracking"), ("general", "general|other|retail"))
 
@@ -58,38 +58,49 @@ def by_slice(cases: DataFrame, *slices: str) -> DataFrame:
     return cases.groupingSets([[F.col(c) for c in x] for x in sets], *slices).agg(*metrics())
 
 
-def nearest_rank(frame: DataFrame, value: str, share: float, *by: str) -> DataFrame:
-    """The value at place ceil(n * share) of the sorted values, by group; 0 for none."""
-    one = F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
-    return frame.groupBy(*by).agg(F.coalesce(one, F.lit(0.0)).alias("at_rank"), F.count(value).alias("n"))
-
-
 def stratified(frame: DataFrame, strata: list[str], order: str, sizes: int | dict[str, int], text: str = "text", strict: bool = False) -> DataFrame:
     """The first rows of each stratum by order, with their rank. Strata go in order, and a text that
     one of them has taken is not taken again, by itself or by a later one.
 
     sizes is a number, or a number by the value of the last stratum column; with strict a stratum
-    that comes out short is an error. Each stratum is one distributed top-n, and what is selected,
-    a sample of the sizes, is all that the driver holds.
+    that comes out short is an error. A stratum needs its first different texts alone, as many as it and
+    all before it may take, and none behind as many that no other stratum has as it takes itself: these
+    are found in one pass, whatever the number of strata, and the choice among them is made on the
+    driver, which holds little more than the sample.
     """
-    known = [tuple(r) for r in frame.select(*strata).distinct().orderBy(*strata).limit(MAX_STRATA + 1).collect()]
-    if len(known) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    taken: list[str] = []
-    rows: list[tuple] = []
+    if isinstance(sizes, int):
+        size = F.lit(sizes)
+    else:
+        of = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)) if sizes else F.create_map().cast("map<string,int>")
+        size = F.coalesce(F.try_element_at(of, F.col(strata[-1]).cast("string")), F.lit(0))
+    columns = [F.col(c) for c in frame.columns]
     keyed = frame.withColumn("_h", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    first = F.row_number().over(Window.partitionBy("_h").orderBy(order))
-    for values in known:
-        mine = keyed
-        for c, v in zip(strata, values, strict=True):
-            mine = mine.where(F.col(c).eqNullSafe(F.lit(v)))
-        size = sizes if isinstance(sizes, int) else sizes.get(values[-1], 0)
-        fresh = mine.where(~F.col("_h").isin(taken)) if taken else mine
-        found = fresh.withColumn("_t", first).where("_t = 1").orderBy(order).limit(size).collect()
-        if strict and len(found) < size:
-            raise ValueError(f"stratum {values} has {len(found)} rows where {size} are due")
-        taken += [r["_h"] for r in found]
-        rows += [(*(r[c] for c in frame.columns), k) for k, r in enumerate(found, 1)]
+    once = keyed.groupBy(*strata, "_h").agg(F.min_by(F.struct(*columns), F.struct(F.col(order), F.to_json(F.struct(*columns)))).alias("_r"))
+    groups = once.select(*strata).distinct().withColumn("_size", size)
+    so_far = Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each stratum
+    groups = groups.withColumns({"_most": F.sum("_size").over(so_far), "_number": F.row_number().over(Window.orderBy(*strata))})
+    other = groups.select(*(F.col(c).alias(f"_s{k}") for k, c in enumerate(strata)), "_size", "_most", "_number")
+    same = F.lit(True)
+    for k, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{k}"))
+    ready = once.join(F.broadcast(other) if groups.limit(10_001).count() <= 10_000 else other, same)
+    ready = ready.withColumns({"_alone": F.count("*").over(Window.partitionBy("_h")) == 1, "_o": F.col("_r")[order]})
+    ranked = first_rows(ready.select("_number", "_size", "_most", "_alone", "_h", "_o", "_r"), ["_number"], [F.col("_o"), F.col("_h")], F.col("_most"))
+    earlier = Window.partitionBy("_number").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    needed = ranked.withColumn("_sure", F.coalesce(F.sum(F.col("_alone").cast("int")).over(earlier), F.lit(0))).where("_sure < _size")
+    taken: set[str] = set()
+    rows: list[tuple] = []
+    counts: dict[int, int] = {}
+    for r in needed.select("_number", "_size", "_h", "_r", "_rank").orderBy("_number", "_rank").toLocalIterator():
+        if counts.get(r["_number"], 0) < r["_size"] and r["_h"] not in taken:
+            taken.add(r["_h"])
+            counts[r["_number"]] = counts.get(r["_number"], 0) + 1
+            rows.append((*r["_r"], counts[r["_number"]]))
+    if strict:
+        short = [r for r in groups.collect() if counts.get(r["_number"], 0) < r["_size"]]
+        if short:
+            values, n = tuple(short[0][c] for c in strata), counts.get(short[0]["_number"], 0)
+            raise ValueError(f"stratum {values} has {n} rows where {short[0]['_size']} are due")
     return frame.sparkSession.createDataFrame(rows, frame.withColumn("rank", F.lit(1)).schema)
 
 
@@ -99,8 +110,10 @@ def leaked(fresh: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
     values = known.select(F.explode(F.array(*(clean(F.col(c).cast("string")) for c in columns if c in known.columns))).alias("v")).where("v <> ''").distinct()
     own = [c for c in columns if c in fresh.columns]
     found, hit = fresh, F.lit(False)
+    # A blank cell stands for no text: its key is its row's own, so that blanks do not meet in one task.
+    blank = F.concat(F.lit("\x00"), F.xxhash64(*fresh.columns).cast("string"))
     for k, c in enumerate(own):  # one join a column, so a row stays one row
-        found = found.withColumn(f"_v{k}", clean(F.col(c).cast("string"))).join(values.select(F.col("v").alias(f"_v{k}"), F.lit(True).alias(f"_hit{k}")), f"_v{k}", "left")
+        found = found.withColumn(f"_v{k}", F.coalesce(F.nullif(clean(F.col(c).cast("string")), F.lit("")), blank)).join(values.select(F.col("v").alias(f"_v{k}"), F.lit(True).alias(f"_hit{k}")), f"_v{k}", "left")
         hit = hit | F.coalesce(f"_hit{k}", F.lit(False))
     return found.where(hit).select(*fresh.columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan import schemas
 from loomspan.operators.evaluate import DOMAINS, distribution, rate
+from loomspan.operators.ranks import nearest_rank
 
 _CASE_COLUMNS = [field.split()[0] for field in schemas.CASE.split(", ")]
 #: Bounds of the pilot's gate, of the looser one, and of a rerun.
@@ -42,12 +43,12 @@ def pilot_metrics(runs: DataFrame) -> DataFrame:
     told = F.coalesce(c("annotated_act").isin("warning", "criticism"), F.lit(False)) | F.coalesce(c("speech_act").isin("warning", "criticism"), F.lit(False))
     n = F.count_if
     by_domain = [rate(n(risky & found & (c("domain") == d)), n(risky & (c("domain") == d))).alias(f"recall_{d}") for d in DOMAINS]
-    nearest = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)")
-    return runs.agg(
+    one = runs.agg(
         F.count("*").alias("n"), n(risky).alias("risky"), n(safe).alias("safe"), n(c("expected") == "ambiguous").alias("ambiguous"), rate(n(risky & found), n(risky)).alias("recall"),
         rate(n(safe & found), n(safe)).alias("false_positive_rate"), rate(n(c("status") == "review"), F.count("*")).alias("review_rate"), n(safe & told & (c("status") == "high")).alias("warned_high"),
-        rate(n(c("valid")), F.count("*")).alias("valid_rate"), *by_domain, F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 9).alias("mean_ms"), F.coalesce(nearest, F.lit(0.0)).cast("double").alias("p95_ms"),
+        rate(n(c("valid")), F.count("*")).alias("valid_rate"), *by_domain, F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 9).alias("mean_ms"),
     )
+    return one.crossJoin(nearest_rank(runs, "latency_ms", 0.95).select(F.col("at_rank").alias("p95_ms")))  # single rows
 
 
 def _tests(bounds: dict[str, float]) -> dict[str, Column]:

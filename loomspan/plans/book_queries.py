@@ -12,6 +12,8 @@ from loomspan.functions import text as T
 from loomspan.operators import drafts, evaluate, fusion, interpreter, pilot, privacy, rulebook, store
 from loomspan.plans.data_queries import _BOOK, _CASES, _VERDICT, _book, _cases
 from loomspan.plans.matching_sql import squeezed as squeezed_sql
+from loomspan.operators.versions import RuleStore, VersionedTable
+from loomspan.sources.tables import new_path
 from loomspan.sources.tables import table as _table
 from loomspan.streaming import cache
 
@@ -49,6 +51,29 @@ def rules_upserted(spark, sf_dir):
     return rulebook.upserted(_stored(spark, sf_dir), _fresh(spark, sf_dir), F.lit("t9"))
 
 
+def store_round_trip(spark, sf_dir):
+    """A book that is seeded, changed, merged into and deleted from, version by version, and read back."""
+    book = RuleStore(VersionedTable(spark, new_path(spark, "book")), errors=None)
+    book.seeded(_stored(spark, sf_dir))
+    book.upsert(_fresh(spark, sf_dir).where("id NOT LIKE '%_new'"), F.lit("t9"), 1)
+    book.merge(_fresh(spark, sf_dir), 2)
+    book.delete("risk_part_7", 3)
+    return book.rules()
+
+
+def store_migrated(spark, sf_dir):
+    """Payloads stored under the first schema, read and written under the third, and both versions' rows counted."""
+    n = F.regexp_extract("id", "([0-9]+)", 1).cast("long")
+    status = F.when(n % 4 == 0, '{"reviewStatus":"reviewed"}').when(n % 4 == 1, '{"reviewStatus":"rejected"}').when(n % 4 == 2, '{"reviewStatus":"odd"}').otherwise("no json")
+    where = new_path(spark, "payloads")
+    VersionedTable(spark, where).commit(_stored(spark, sf_dir).select("id", "revision", status.alias("payload")), 0)
+    told = F.get_json_object("payload", "$.reviewStatus")
+    catalog = {1: lambda r: r.withColumn("review_status", F.when(told.isin("reviewed", "rejected"), told).otherwise("draft")), 2: lambda r: r.drop("payload")}
+    table = VersionedTable(spark, where, catalog)
+    table.migrate(1)
+    return table.read().withColumn("stored_rows", F.lit(table.manifest(1)["rows"]).cast("long"))
+
+
 def rules_inserted(spark, sf_dir):
     return rulebook.inserted_if_absent(_stored(spark, sf_dir), _fresh(spark, sf_dir))
 
@@ -337,7 +362,7 @@ def queries():
     return {
         f.__name__: f
         for f in (
-            rules_upserted, rules_inserted, rule_deleted, seeds_upgraded, newest_page, stored_payloads, rule_by_key, rules_migrated, rules_validated, export_rewrites, export_sources, export_rules, rules_patched, drafts_from_table, frozen_cases,
+            rules_upserted, store_round_trip, store_migrated, rules_inserted, rule_deleted, seeds_upgraded, newest_page, stored_payloads, rule_by_key, rules_migrated, rules_validated, export_rewrites, export_sources, export_rules, rules_patched, drafts_from_table, frozen_cases,
             frozen_checks, root_causes, draft_words, score_ranges, compact_times, web_urls, text_search, domains_of_texts, domain_hints, cache_keys, secret_scan, token_costs, quote_spans, classifier_runs, statuses_of_runs, failed_decisions,
             runs_overlaid, runs_to_do, case_union, case_union_checks, pilot_metrics, pilot_gate, rerun_gate, safe_distribution, smoke_checks, development_summary, result_table,
         )
@@ -379,6 +404,9 @@ q AS (SELECT *, row_number() OVER (ORDER BY row_no) - 1 AS k FROM p WHERE row_no
 w AS (SELECT *, list_filter(regexp_split_to_array(lower(trim(keyword)), '[^\\p{L}\\p{N}%·.]+'), lambda x: length(x) >= 2) AS ws, CASE WHEN trim(category) = '' THEN 'to be sorted' ELSE category END AS dom FROM q)"""
     return {
         "rules_upserted": f"{_STORE} SELECT id, revision, category, created_at, updated_at FROM o WHERE id NOT IN (SELECT id FROM f) UNION ALL SELECT f.id, f.revision, f.category, coalesce(o.created_at, 't9'), 't9' FROM f LEFT JOIN o ON o.id = f.id",
+        # The merge brings in only what is new, and none of it over what the upsert made of one revision.
+        "store_round_trip": f"{_STORE} SELECT id, revision, category, created_at, updated_at FROM o WHERE id NOT IN (SELECT id FROM f) AND id <> 'risk_part_7' UNION ALL SELECT f.id, f.revision, f.category, CASE WHEN o.id IS NULL THEN f.created_at ELSE o.created_at END, CASE WHEN o.id IS NULL THEN f.updated_at ELSE 't9' END FROM f LEFT JOIN o ON o.id = f.id WHERE f.id <> 'risk_part_7'",
+        "store_migrated": f"{_STORE} SELECT id, revision, CASE n % 4 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'rejected' ELSE 'draft' END AS review_status, (SELECT count(*) FROM o) AS stored_rows FROM o",
         "rules_inserted": f"{_STORE} SELECT id, revision, category, created_at, updated_at FROM o UNION ALL SELECT * FROM f WHERE id NOT IN (SELECT id FROM o)",
         "rule_deleted": f"{_STORE} SELECT id, revision, category, created_at, updated_at FROM o WHERE id <> 'risk_part_7'",
         "seeds_upgraded": f"{_STORE}, u AS (SELECT f.* FROM f JOIN o ON o.id = f.id WHERE o.created_at = o.updated_at AND f.revision > o.revision) SELECT id, revision, category, created_at, updated_at FROM o WHERE id NOT IN (SELECT id FROM u) UNION ALL SELECT * FROM u",
