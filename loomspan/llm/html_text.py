@@ -28,7 +28,7 @@ from loomspan.llm.common import table
 
 # Fixed values of HTML: elements by how their tags nest and whether their text is shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas select".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg object canvas select".split())
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre "
     "blockquote figure figcaption header footer nav aside form fieldset address details summary hr center hgroup search dialog menu".split()
@@ -48,7 +48,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 #: Elements that are never part of an article's text.
-OUTSIDE = frozenset("head nav footer aside form button menu dialog search label fieldset".split())
+OUTSIDE = frozenset("head nav footer aside form button menu dialog search label fieldset annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 #: Words of class and id names that mark what is not the article.
 MARKS = frozenset(
@@ -57,6 +57,13 @@ MARKS = frozenset(
     "signup login comment comments commentlist disqus respond reply replies discussion related recommended recommendations share sharing social "
     "toolbar pagination pager widget copyright disclaimer skip".split()
 )
+#: Marks that no share of the text outweighs; readers' comments and adverts are told beside any other words too.
+NEVER = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr comment comments commentlist disqus".split())
+BESIDE_ANY = frozenset("ad ads advert adverts advertisement comment comments commentlist disqus".split())
+#: Beside these a mark tells of the page's state, not of a region: has-comments, comments-open.
+STATES = frozenset("no not has with without open opened closed on off enabled disabled allow allowed count counter number".split())
+#: A list of links with labels longer than this is no menu.
+LABEL_CHARS = 25
 #: Words that leave a mark's meaning as it is: comment-list, site-footer, relatedPosts.
 NEUTRAL = frozenset(
     "list lists item items box bar block blocks area container wrapper wrap section inner outer widget panel site page main global top bottom left right header "
@@ -103,17 +110,19 @@ def _is_outside(name: str, attrs: str) -> bool:
 
 
 def _mark(attrs: str) -> str:
-    """"strong" or "weak" if a whole name of class or id is a mark, with neutral words at most."""
+    """"never", "strong" or "weak" if a whole name of class or id is a mark, with neutral words at most; "never" for some beside others too."""
     found = ""
     for m in _ATTR.finditer(attrs) if attrs else ():
         if m[1].lower() in ("class", "id"):
             for name in (m[2] or m[3] or m[4] or "").split():
                 parts = {x.lower() for x in _SPLIT.split(name) if len(x) > 1}
                 marks = parts & MARKS
+                if parts & STATES:
+                    continue
+                if parts & BESIDE_ANY or parts & NEVER and parts <= MARKS | NEUTRAL:
+                    return "never"
                 if marks and parts <= MARKS | NEUTRAL:
-                    if not marks <= WEAK:
-                        return "strong"
-                    found = "weak"
+                    found = "strong" if not marks <= WEAK else found or "weak"
     return found
 
 
@@ -123,6 +132,8 @@ def weigh_marks(root: Node) -> None:
     A mark does not count on a node that holds the page's article or main element (itself in no
     article) or most of its text without links, as long as no other article or main stands outside
     of all marks; a weak one does not count on a part with its own heading and mostly running text.
+    Comments, adverts and questions of consent stay outside whatever their share, unless they hold
+    the article element.
     """
     order, stack, free, marked = [], [(root, False, False)], [], []
     while stack:
@@ -153,7 +164,7 @@ def weigh_marks(root: Node) -> None:
         within[id(node)] = within.get(id(node.parent), False) or id(node) in free and node.name == "article"
     for node in marked:
         elsewhere = len(free) > above[id(node)]
-        outweighed = not elsewhere and (inside[id(node)] and not within[id(node)] or own[id(node)] * 2 > own[id(root)])
+        outweighed = not elsewhere and (inside[id(node)] and not within[id(node)] or node.mark != "never" and own[id(node)] * 2 > own[id(root)])
         titled = node.mark == "weak" and own[id(node)] > links[id(node)] and any(not isinstance(c, str) and c.name in HEADS for c in node.children) and any(not isinstance(c, str) and c.name not in HEADS and not c.outside and own[id(c)] for c in node.children)
         node.outside = not outweighed and not titled
 
@@ -267,7 +278,8 @@ def select(nodes: list[Node]) -> Node:
     """The subtree of the greatest sum; then the widest one above it that the path allows.
 
     The least density between it and the body is the threshold: an ancestor at least as
-    dense whose other children are as dense, or are its headings, takes its place.
+    dense whose other children are as dense, are its headings, or have a main heading of their own
+    (a title and lead beside the text, a further section), takes its place.
     """
     best = max((n for n in nodes if n.chars), key=lambda n: n.total, default=nodes[0])
     if best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "b", "i", "em", "strong", "span", "td", "blockquote", "pre", "a") and best.parent is not None:
@@ -279,8 +291,16 @@ def select(nodes: list[Node]) -> Node:
     body = up if up is not None else nodes[0]
     threshold = min([n.density for n in [*path, body] if n.density > 0], default=0.0)
     chosen = best
+    shown = set(map(id, nodes))
+    headed: set[int] = set()
+    for n in reversed(nodes):
+        if n.name in ("h1", "h2") and n.chars or any(not isinstance(c, str) and id(c) in headed for c in n.children):
+            headed.add(id(n))
     for node in path:
-        rest = [c for c in node.children if not isinstance(c, str) and not c.outside and c is not chosen and c.chars and (c.density >= threshold or c.name in HEADINGS) and c.link_chars * 2 < c.chars]
+        rest = [
+            c for c in node.children
+            if not isinstance(c, str) and id(c) in shown and c is not chosen and c.chars and (c.density >= threshold or c.name in HEADINGS or id(c) in headed) and c.link_chars * 2 < c.chars
+        ]
         if node is not best and rest:
             chosen = node
     for node in path:  # an article or main element is the author's own mark
@@ -311,8 +331,8 @@ def _blocks(root: Node, use_marks: bool) -> list[str]:
         else:
             if x is not root and x.outside and (use_marks or x.name in RAW or x.name in OUTSIDE):
                 continue
-            if root.name in ("html", "body") and x is not root and x.name in ("ul", "dl", "div", "section", "table") and x.chars and x.link_chars * 10 > x.chars * 7:
-                continue  # a list of links, where no article was told from the page
+            if root.name in ("html", "body") and x is not root and x.name in ("ul", "dl", "div", "section", "table") and x.chars and x.link_chars * 10 > x.chars * 7 and x.link_chars <= LABEL_CHARS * x.link_tags:
+                continue  # a menu, where no article was told from the page
             if x.name == "br":
                 now.append("\n")
                 continue
