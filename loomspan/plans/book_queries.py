@@ -15,7 +15,7 @@ from loomspan.plans.matching_sql import squeezed as squeezed_sql
 from loomspan.operators.versions import RuleStore, VersionedTable
 from loomspan.sources.tables import new_path
 from loomspan.sources.tables import table as _table
-from loomspan.streaming import cache
+from loomspan.streaming import cache, runs
 
 _START = "2024-01-01 00:00:00"
 
@@ -61,6 +61,15 @@ def store_round_trip(spark, sf_dir):
     return book.rules()
 
 
+def runs_in_batches(spark, sf_dir):
+    """Runs of the cue words over all documents, those of one language in a batch before: each case has one run. Masks need look-around: no SQL."""
+    table = VersionedTable(spark, new_path(spark, "runs"))
+    cases = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    for batch in (cases.where("lang = 'en'"), cases):
+        runs.run_batch(batch, interpreter.by_cue_words, table, "doc_id")
+    return table.read().select("doc_id", "ok", "text_hash", F.lit(table.version()).alias("version"))
+
+
 def store_migrated(spark, sf_dir):
     """Payloads stored under the first schema, read and written under the third, and both versions' rows counted."""
     n = F.regexp_extract("id", "([0-9]+)", 1).cast("long")
@@ -362,7 +371,7 @@ def queries():
     return {
         f.__name__: f
         for f in (
-            rules_upserted, store_round_trip, store_migrated, rules_inserted, rule_deleted, seeds_upgraded, newest_page, stored_payloads, rule_by_key, rules_migrated, rules_validated, export_rewrites, export_sources, export_rules, rules_patched, drafts_from_table, frozen_cases,
+            rules_upserted, store_round_trip, store_migrated, runs_in_batches, rules_inserted, rule_deleted, seeds_upgraded, newest_page, stored_payloads, rule_by_key, rules_migrated, rules_validated, export_rewrites, export_sources, export_rules, rules_patched, drafts_from_table, frozen_cases,
             frozen_checks, root_causes, draft_words, score_ranges, compact_times, web_urls, text_search, domains_of_texts, domain_hints, cache_keys, secret_scan, token_costs, quote_spans, classifier_runs, statuses_of_runs, failed_decisions,
             runs_overlaid, runs_to_do, case_union, case_union_checks, pilot_metrics, pilot_gate, rerun_gate, safe_distribution, smoke_checks, development_summary, result_table,
         )
