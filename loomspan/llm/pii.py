@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice, takewhile
@@ -80,7 +81,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- the field -----------------------------------------------------------------------
 
-#: A span has at most so many tokens and characters.
+#: A span has at most so many tokens and characters, but for announced values and issued keys, which have any number.
 MAX_TOKENS, MAX_CHARS = 16, 96
 _TOKEN = re.compile(r"[A-Za-z0-9]+|\s|[^\sA-Za-z0-9]")
 _ANCHOR = re.compile(r"[0-9]{2}|@|(?i:\bdot\b)")
@@ -102,13 +103,16 @@ _OPENER = re.compile(
 )
 _OPENER_PARTS = ("pass", "pwd", "token", "secret", "key")
 _PASS = re.compile(r"(?i)pass|pwd")
-_VALUE = re.compile(r"\S{1,97}")
+_VALUE = re.compile(r"\S+")
 # What issued keys begin with.
 _ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|gh[opsu]_|glpat-|sk[-_]|xox[abp]-|eyJ)[A-Za-z0-9]")
+_ISSUED_KEY = re.compile(rf"(?<![A-Za-z0-9]){_ISSUED.pattern}[A-Za-z0-9_.+/=-]{{14,}}(?<![.+/=-])")
+#: What a value that was announced and found to be a secret scores more than its parts: it is masked as one.
+_AS_ONE = 1000.0
 _SHAPES = (
     "bias", "digits0", "digits1_6", "digits7_9", "digits10_12", "digits13_15", "digits16_19", "digits20", "at_sign", "at_word", "dot_words", "dotted4", "dotted4_ok", "luhn",
     "plus", "paren", "separators_only", "plain_digits", "letters", "one_token", "long_token", "mixed_token", "hex_token", "upper_token", "bad_edge", "glued_left", "glued_right",
-    "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", "opened", "opened_whole", "opened_pass", "opened_word", "marked", "issued", "caps_word", *(f"cue_{k}" for k in _CUES),
+    "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", "opened", "opened_whole", "opened_pass", "opened_word", "opened_long", "marked", "issued", "caps_word", *(f"cue_{k}" for k in _CUES),
 )
 _DATE, _HEX, _DIGITS = re.compile(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}"), re.compile(r"[0-9a-f]+"), re.compile(r"[0-9]+")
 _AT_WORD, _DOT_WORDS = re.compile(r"\w[ \[({]+at[ \])}]+\w", re.I), re.compile(r"\w[ \[({]+dot[ \])}]+\w", re.I)
@@ -127,21 +131,26 @@ def _is_mixed(token: str) -> bool:
 
 
 def _openers(text: str, at: int = 0, end: int | None = None) -> dict[int, tuple[int, bool]]:
-    """Where announced values start: their end, and whether a password was announced.
+    """Where announced values and issued keys start: their end, and whether a password was announced.
 
-    A value goes to its closing quote, or else to white space without the signs that end a clause.
+    A value goes to its closing quote, or else to white space without the signs that end a clause;
+    an issued key announces itself, and goes as far as its signs do.
     """
     end = len(text) if end is None else end
     lower = text[at:end].lower()
     found = {}
     for m in _OPENER.finditer(text, at, end) if any(x in lower for x in _OPENER_PARTS) else ():
         start, quote = m.end(), m["quote"]
-        stop = text.find(quote, start, start + MAX_CHARS + 1) if quote else -1
-        if stop < 0 or "\n" in text[start:stop]:
+        line = text.find("\n", start) if quote else -1
+        stop = text.find(quote, start, len(text) if line < 0 else line) if quote else -1
+        if stop < 0:
             stop = _VALUE.match(text, start).end()
             while stop > start + 1 and text[stop - 1] in "\"'`,.;:)]}":
                 stop -= 1
         found[start] = (stop, bool(_PASS.search(m[0])))
+    for m in _ISSUED_KEY.finditer(text, at, end):
+        if any(c.isdigit() for c in m[0]):
+            found.setdefault(m.start(), (m.end(), False))
     return found
 
 
@@ -182,6 +191,7 @@ def _row(s: str, left: bool, right: bool, cues: tuple[str, ...], opened: bool, w
         "opened": opened,
         "opened_whole": whole,
         "opened_pass": is_pass,
+        "opened_long": whole and len(s) >= 20 and n_digits > 0 and letters and not any(c.isspace() for c in s),
         "opened_word": opened and all(c.isalpha() or c in " '-" for c in s),
     }
     if letters:
@@ -232,6 +242,7 @@ def _candidates(text: str, at: int, end: int, taken: list[tuple[int, int]], toke
     for i in range(len(tokens) - 1, -1, -1):
         a, b = tokens[i]
         after[i] = i if _ANCHOR.search(text, a, b) or b - a >= 12 and _is_mixed(text[a:b]) else after[i + 1]
+    ends = [stop for _, stop in tokens]
     low = 0  # taken spans before it end before every later start
     for i, (start, _) in enumerate(tokens):
         opener = opened.get(start)
@@ -262,6 +273,10 @@ def _candidates(text: str, at: int, end: int, taken: list[tuple[int, int]], toke
             if cues is None:
                 cues = [w.lower() for w in _WORD.findall(text[max(0, start - 24) : start])[-2:]]
             yield i, j + 1, _features(text, start, stop, cues, opener)
+        if opener is not None and opener[0] - start > MAX_CHARS and not (low < len(taken) and taken[low][0] < opener[0]):
+            j = bisect_left(ends, opener[0])
+            if j < len(ends) and ends[j] == opener[0]:
+                yield i, j + 1, _features(text, start, opener[0], [w.lower() for w in _WORD.findall(text[max(0, start - 24) : start])[-2:]], opener)
 
 
 def _scored(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens: list[tuple[int, int]], weights: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
@@ -271,6 +286,8 @@ def _scored(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens:
     def block():
         scores = np.array([r for _, _, r in held]) @ weights
         scores[:, KINDS.index("card")] = np.where([r[_AT["luhn"]] == 1 for _, _, r in held], scores[:, KINDS.index("card")], -np.inf)
+        secret = KINDS.index("secret")
+        scores[:, secret] += np.where([r[_AT["opened_whole"]] == 1 for _, _, r in held] & (scores[:, secret] > 0), _AS_ONE, 0.0)
         kinds = scores.argmax(1)
         found = [(i, j, int(k), float(row[k])) for (i, j, _), k, row in zip(held, kinds, scores, strict=True) if row[k] > 0]
         held.clear()
@@ -452,7 +469,7 @@ def _regions(text: str) -> list[tuple[int, int]]:
     found: list[list[int]] = []
     hits = [(m.start(), m.end()) for m in _ANCHOR.finditer(text)]
     more = [(m.start(), m.end()) for m in _LONG.finditer(text) if _is_mixed(m[0])]
-    more += [(start, min(stop, start + MAX_CHARS)) for start, (stop, _) in _openers(text).items()]
+    more += [(start, stop) for start, (stop, _) in _openers(text).items()]
     for a, b in sorted(hits + more) if more else hits:
         at, end = max(0, a - _MARGIN), min(len(text), b + _MARGIN)
         if found and at <= found[-1][1]:
