@@ -15,7 +15,7 @@ Equal vectors are compared once and counted by their number. Cells and their vis
 cut into blocks of bounded size, so a hot cell is dealt over many tasks; a block gives back
 counts and a spanning forest, never its pairs.
 
-Codebooks grow with the root of the number of vectors, up to MAX_WORDS. The most frequent
+Codebooks grow with the root of the number of vectors, from two words on, up to MAX_WORDS. The most frequent
 MAX_LENGTHS lengths have codebooks; vectors of any other length are compared with all of that
 length, in blocks, which is exact.
 
@@ -28,6 +28,8 @@ ignored.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +46,8 @@ MAX_LENGTHS = 16
 PLANES = 8
 #: So many counts of cells are sent to all tasks at most; more are joined in a shuffle.
 MAX_SENT = 1 << 18
-CELL_ROWS = 4096
+#: The grid has four times as many cells as it takes for cells of so many vectors: most are empty, as halves go together.
+CELL_ROWS = 512
 #: Share of neighbours at the very threshold that the visited cells hold.
 TARGET_RECALL = 0.99
 CALIBRATE_ROWS = 2000
@@ -90,21 +93,23 @@ def _least(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _visits(low1: np.ndarray, low2: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Multi-sequence traversal: pairs of codewords by growing sum, up to the limit.
+    """Multi-sequence traversal: cells by growing sum of the halves' bounds, up to the limit.
 
-    Each half is in growing order, so behind the first sum over the limit a row of pairs
-    holds nothing more.
+    Each half is a sequence in growing order. A cell enters the heap when the one before it in a
+    sequence has been visited, so only the border of what was visited is held, and the traversal
+    ends at the first cell beyond the limit, whatever the size of the grid.
     """
     first, second = low1.argsort(kind="stable"), low2.argsort(kind="stable")
-    s1, s2 = low1[first], low2[second]
-    found = []
-    for k, a in enumerate(s1):
-        n = int(np.searchsorted(s2, limit - a, side="right"))
-        if n == 0:
-            break
-        found += [(float(a + s2[m]), int(first[k]), int(second[m])) for m in range(n)]
-    found.sort()
-    return [(i, j) for _, i, j in found]
+    s1, s2 = low1[first].tolist(), low2[second].tolist()
+    heap, found = [(s1[0] + s2[0], 0, 0)], []
+    while heap and heap[0][0] <= limit:
+        _, i, j = heapq.heappop(heap)
+        found.append((int(first[i]), int(second[j])))
+        if j + 1 < len(s2):
+            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(s1):
+            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+    return found
 
 
 def _unit(raw: list[bytes], length: int) -> np.ndarray:
@@ -142,7 +147,7 @@ def _fit(reps: DataFrame, threshold: float, recall: float) -> dict[int, tuple[np
         share = min(1.0, SAMPLE_ROWS / n)
         mine = reps.where(F.col("len") == length).where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) <= int(share * (1 << 30)))
         x = _unit(mine.select("raw").limit(2 * SAMPLE_ROWS).toArrow().column(0).to_pylist(), length)
-        k = int(np.clip(2 * np.sqrt(n / CELL_ROWS), 1, MAX_WORDS))
+        k = int(np.clip(np.ceil(2 * np.sqrt(n / CELL_ROWS)), 1, MAX_WORDS))
         rng, half = np.random.default_rng(5), length // 2
         if not len(x):
             x = np.eye(1, length)
