@@ -272,6 +272,16 @@ def score_range(text: Column) -> Column:
     return F.struct(part(1).alias("low"), part(2).alias("high"))
 
 
+def utf16_key(text: Column) -> Column:
+    """A key whose order is that of UTF-16 code units: characters beyond the BMP come before U+E000."""
+    return F.encode(text, "UTF-16BE")
+
+
+def locale_key(text: Column) -> Column:
+    """A key whose order is the root collation's: letters by alphabet, then accents, then case."""
+    return F.collate(text, "UNICODE")
+
+
 def compact_time(at: Column) -> Column:
     return F.date_format(at, "yyyyMMddHHmmss")
 

@@ -5,6 +5,7 @@ As in ``data_queries``, inputs are made from the tables by the same expressions
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspan import schemas
@@ -252,13 +253,21 @@ def token_costs(spark, sf_dir):
 
 
 def quote_spans(spark, sf_dir):
-    """Where two quotes stand that every text has once; every third text lacks one of them."""
-    text = F.concat(F.lit("①"), F.coalesce("text", F.lit("")), F.lit("②"))
+    """Where two quotes stand that texts have more than once: the nearest pair; a tie, or a quote that is not there, is no place."""
+    text = F.concat(F.lit("①"), F.coalesce("text", F.lit("")), F.lit("②①"), F.when(F.col("doc_id") % 5 == 0, "②").otherwise(""))
     quotes = F.array(F.lit("①"), F.when(F.col("doc_id") % 3 == 0, "③").otherwise("②"))
     found = _documents(spark, sf_dir).select("doc_id", privacy.resolved_quotes(text, quotes).alias("q"))
     return found.select("doc_id", F.get("q", F.lit(0))["start"].alias("first_start"), F.get("q", F.lit(1))["start"].alias("last_start"), F.get("q", F.lit(1))["end"].alias("last_end"))
 
 
+def names_in_utf16_order(spark, sf_dir):
+    """Places of names with characters on both sides of the surrogates, in the order of UTF-16 code units."""
+    mark = F.when(F.col("doc_id") % 4 == 0, "\U0001f600").when(F.col("doc_id") % 4 == 1, "\uff01").when(F.col("doc_id") % 4 == 2, "\ue000").otherwise("é")
+    names = _documents(spark, sf_dir).select("doc_id", F.concat("source", mark, F.col("doc_id").cast("string")).alias("name"))
+    place = F.row_number().over(Window.partitionBy(F.col("doc_id") % 64).orderBy(T.utf16_key(F.col("name"))))
+    return names.select("doc_id", "name", place.cast("long").alias("place"))
+
+
 # ---- runs of a classifier -----------------------------------------------------------------------
 
 
@@ -372,7 +381,7 @@ def queries():
         f.__name__: f
         for f in (
             rules_upserted, store_round_trip, store_migrated, runs_in_batches, rules_inserted, rule_deleted, seeds_upgraded, newest_page, stored_payloads, rule_by_key, rules_migrated, rules_validated, export_rewrites, export_sources, export_rules, rules_patched, drafts_from_table, frozen_cases,
-            frozen_checks, root_causes, draft_words, score_ranges, compact_times, web_urls, text_search, domains_of_texts, domain_hints, cache_keys, secret_scan, token_costs, quote_spans, classifier_runs, statuses_of_runs, failed_decisions,
+            frozen_checks, root_causes, draft_words, score_ranges, compact_times, web_urls, text_search, domains_of_texts, domain_hints, cache_keys, secret_scan, token_costs, quote_spans, names_in_utf16_order, classifier_runs, statuses_of_runs, failed_decisions,
             runs_overlaid, runs_to_do, case_union, case_union_checks, pilot_metrics, pilot_gate, rerun_gate, safe_distribution, smoke_checks, development_summary, result_table,
         )
     }
@@ -442,7 +451,9 @@ w AS (SELECT *, list_filter(regexp_split_to_array(lower(trim(keyword)), '[^\\p{L
         "cache_keys": f"SELECT doc_id, sha256('{schemas.PAYLOAD_VERSION}:1' || coalesce(':' || text, '')) AS key FROM documents",
         "secret_scan": "SELECT doc_id FROM documents WHERE contains(coalesce(text, ''), 'AKIA') OR contains(coalesce(text, ''), 'password') OR contains(coalesce(source, ''), 'AKIA') OR contains(coalesce(source, ''), 'password')",
         "token_costs": "SELECT doc_id, round((n_chars * 0.25::DOUBLE + 150) / 1e6, 9) AS cost FROM documents",
-        "quote_spans": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 0 END AS first_start, CASE WHEN doc_id % 3 <> 0 THEN length(coalesce(text, ''))::INT + 1 END AS last_start, CASE WHEN doc_id % 3 <> 0 THEN length(coalesce(text, ''))::INT + 2 END AS last_end FROM documents",
+        "quote_spans": "SELECT doc_id, CASE WHEN placed THEN n + 2 END AS first_start, CASE WHEN placed THEN n + 1 END AS last_start, CASE WHEN placed THEN n + 2 END AS last_end FROM (SELECT doc_id, length(coalesce(text, ''))::INT AS n, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND length(coalesce(text, '')) > 0 AS placed FROM documents)",
+        "names_in_utf16_order": """WITH s AS (SELECT doc_id, source || CASE doc_id % 4 WHEN 0 THEN chr(128512) WHEN 1 THEN chr(65281) WHEN 2 THEN chr(57344) ELSE 'é' END || doc_id AS name FROM documents)
+SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id % 64 ORDER BY list_aggregate(list_transform(string_split(name, ''), lambda c: CASE WHEN ord(c) >= 65536 THEN printf('%04X%04X', 55296 + ((ord(c) - 65536) >> 10), 56320 + ((ord(c) - 65536) & 1023)) ELSE printf('%04X', ord(c)) END), 'string_agg', '')) AS place FROM s""",
         "statuses_of_runs": "SELECT doc_id, CASE WHEN n_chars % 4 = 0 OR n_chars % 7 = 0 THEN 'review' WHEN n_chars % 3 = 0 AND n_chars % 10 >= 5 THEN 'no_match' ELSE 'review' END AS status, CASE WHEN n_chars % 4 <> 0 THEN CASE WHEN n_chars % 5 = 0 THEN 'cache_hit' ELSE 'success' END WHEN n_chars % 8 = 0 THEN 'timeout' WHEN n_chars % 12 = 0 THEN 'rate_limited' ELSE 'failed' END AS label FROM documents",
         "failed_decisions": "SELECT doc_id, 'review' AS status, CASE WHEN n_chars % 101 = 0 THEN 55 ELSE greatest(55, least(69, n_chars % 101)) END::DOUBLE AS score, n_chars % 2 = 0 AS suppressed_high FROM documents",
         "runs_overlaid": f"WITH {_CASES} SELECT doc_id, expected, CASE WHEN doc_id % 4 = 0 THEN 'no_match' ELSE status END AS status FROM c",
