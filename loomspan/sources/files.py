@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from loomspan import schemas
 from loomspan.operators.rules import Policy
@@ -27,8 +30,12 @@ _CSV_PIECES = re.compile(r'""|"|,|\r\n|\r|\n|[^",\r\n]+')
 def parse_csv(text: str) -> list[list[str]]:
     """Rows of one small CSV text: a quote toggles wherever it stands, two inside quotes are one; ragged
     rows stay, rows without any character go, and an open quote takes the rest."""
+    return _csv_rows(text.lstrip("\ufeff"))
+
+
+def _csv_rows(text: str) -> list[list[str]]:
     rows, row, cell, inside = [], [], [], False
-    for piece in _CSV_PIECES.findall(text.lstrip("\ufeff")):
+    for piece in _CSV_PIECES.findall(text):
         if piece == '""':
             cell += ['"'] if inside else []
         elif piece == '"':
@@ -45,6 +52,99 @@ def parse_csv(text: str) -> list[list[str]]:
     return [r for r in rows if any(r)]
 
 
+#: Rows are parsed together until their text has so many characters.
+_CSV_BLOCK = 1 << 16
+#: The states of so many chunks at most are sent to all tasks.
+MAX_SENT = 1 << 16
+_CSV_PARTS = "file string, block long, line long, part string, cells array<string>, text string"
+
+
+def _csv_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole rows of each chunk, and what of its text belongs to a row that began before it or goes on behind it.
+
+    Lines (file, block, opened, value) come in their order; opened tells whether the chunk begins inside quotes.
+    """
+    now, held, first, number, size, inside, head, out = None, [], 0, 0, 0, False, False, []
+
+    def flush(part: str) -> None:
+        nonlocal held, size
+        text = "\n".join(held)
+        if part == "rows":
+            out.extend((*now, first + k, part, cells, None) for k, cells in enumerate(_csv_rows(text)))
+        else:
+            out.append((*now, first, part, None, text))
+        held, size = [], 0
+
+    def leave() -> None:
+        if now is not None and held:
+            flush(("all" if head else "tail") if inside else "rows")
+
+    for frame in frames:
+        for file, block, opened, value in zip(frame["file"], frame["block"], frame["opened"], frame["value"], strict=True):
+            if (file, block) != now:
+                leave()
+                now, number, inside, head = (file, block), 0, bool(opened), bool(opened)
+            if not held:
+                first = number
+            held.append(value)
+            number, size = number + len(value) + 1, size + len(value)  # no row of a line has a number of a later one
+            closed = inside and value.count('"') % 2 == 1 or not inside and value.count('"') % 2 == 0
+            was, inside = inside, not closed
+            if head and closed:  # the row from before ends here
+                flush("head")
+                head = False
+            elif not head and inside and not was and len(held) > 1:  # whole rows before the one that goes on
+                last = held.pop()
+                flush("rows")
+                held, size, first = [last], len(last), number - len(last) - 1
+            elif closed and size > _CSV_BLOCK:
+                flush("rows")
+        if out:
+            yield pd.DataFrame(out, columns=["file", "block", "line", "part", "cells", "text"])
+            out = []
+    leave()
+    if out:
+        yield pd.DataFrame(out, columns=["file", "block", "line", "part", "cells", "text"])
+
+
+def toggling_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, cells) of ``parse_csv``'s rows of large files; ordered by the first three, they are in the files' order.
+
+    A file is read in the chunks that Spark splits it into. Whether a chunk begins inside quotes is
+    the parity of all quotes before it: one count for each chunk, summed over the chunks before.
+    Rows inside a chunk are parsed where they are read; of a row over chunks only its pieces move. A quote
+    that never ends makes one cell of the rest of its file.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("bytes"), "value")
+    start = (F.col("block") == 0) & F.col("value").startswith("\ufeff") & (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0)
+    lines = lines.withColumn("value", F.when(start, F.regexp_replace("value", f"{BOM}+", "")).otherwise(F.col("value")))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = lines.groupBy("file", "block").agg(F.sum(quotes).alias("q"), F.sum(F.col("bytes") + 1).alias("bytes"), F.first("size").alias("size"))
+    chunks = counted.select("file", "block", (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2 == 1).alias("opened"))
+    # A line feed at the end of a file is in no line; it belongs to a cell that never ends.
+    fed = counted.groupBy("file").agg((F.first("size") - F.sum("bytes")).isin(0, 3).alias("fed"))  # a byte order mark is no line's
+    if chunks.limit(MAX_SENT + 1).count() <= MAX_SENT:  # lines stay where they were read, in their order
+        ready = lines.join(F.broadcast(chunks), ["file", "block"])
+    else:
+        placed = lines.withColumn("id", F.monotonically_increasing_id()).join(chunks, ["file", "block"])
+        ready = placed.repartition("file", "block").sortWithinPartitions("file", "block", "id")
+    parts = ready.select("file", "block", "opened", "value").mapInPandas(_csv_parts, _CSV_PARTS)
+    whole = parts.where("part = 'rows'").select("file", "block", "line", "cells")
+    pieces = parts.where("part <> 'rows'")
+    upto = Window.partitionBy("file").orderBy("block", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pieces.withColumn("row", F.sum(F.when(F.col("part") == "tail", 1).otherwise(0)).over(upto)).groupBy("file", "row")
+    joined = rows.agg(F.sort_array(F.collect_list(F.struct("block", "line", "text"))).alias("p"), F.bool_or(F.col("part") == "head").alias("closed")).select("file", F.get("p", F.lit(0))["block"].alias("block"), F.get("p", F.lit(0))["line"].alias("line"), F.array_join("p.text", "\n").alias("text"), "closed")
+    joined = joined.join(fed, "file").withColumn("text", F.when(~F.col("closed") & F.col("fed"), F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    parsed = joined.withColumn("cells", F.explode(_rows_of_text("text")))
+    return whole.unionByName(parsed.select("file", "block", "line", "cells"))
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _rows_of_text(texts: pd.Series) -> pd.Series:
+    return texts.map(_csv_rows)
+
+
 def column_like(frame: DataFrame, pattern: str) -> str | None:
     """The first column whose name matches."""
     return next((c for c in frame.columns if re.search(pattern, c, re.I)), None)
