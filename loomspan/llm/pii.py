@@ -1,18 +1,19 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field beside them.
 
 The field scores whole candidate spans by features of the span, its edges and the words
-before it; dynamic programming over spans of bounded length picks boundaries and kinds at
-once. It adds what the patterns leave out (secrets, numbers without a plus sign, spelled-out
-addresses); a pattern's span always stays, and no added span overlaps one.
+before it, and the kinds of spans that follow each other closely; dynamic programming over
+(end, kind) picks boundaries and kinds at once. It adds what the patterns leave out (secrets,
+numbers without a plus sign, spelled-out addresses); a pattern's span always stays, and no
+added span overlaps one.
 
 The weights are fitted here, by likelihood, on generated examples (``examples``): a few
 hundred lines of PII and of look-alikes, from a fixed seed. What a kind's form excludes is no
 candidate for it: a card number must pass Luhn, digits and separators alone have 7 to 20 digits in 7
-groups at most. Texts are decoded as they are read: where no candidate of use crosses a place, what
-lies before it is settled, so the memory does not grow with the length of a digit-dense text.
+groups at most. Texts are decoded as they are read: what is held is the ends of the last few tokens
+and the spans chosen so far, so the memory does not grow with the candidates of a digit-dense text.
 
 Defined cases: a null or empty text has no spans; whole texts are read, of any length; spans count
-code points, end exclusive; of equal segmentations the one with the earlier, shorter last span counts;
+code points, end exclusive; of equal segmentations the one whose last span ends earlier, then starts earlier, counts;
 repeated rows each give a row; an empty table gives no rows; a null doc_id is a value like others;
 other columns are ignored by ``find_pii`` and carried as they are, whatever their names, by ``mask_pii``.
 """
@@ -24,7 +25,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import islice, takewhile
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -86,11 +89,11 @@ MAX_TOKENS, MAX_CHARS = 16, 96
 _TOKEN = re.compile(r"[A-Za-z0-9]+|\s|[^\sA-Za-z0-9]")
 _ANCHOR = re.compile(r"[0-9]{2}|@|(?i:\bdot\b)")
 _LONG = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{12,}")
-_WORD = re.compile(r"[A-Za-z-]+")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|-)*")
 _MARGIN = MAX_CHARS
 # Words before a span, by what they announce.
 _CUES = {
-    "phone": frozenset("tel telephone phone call fax mobile cell ring".split()),
+    "phone": frozenset("tel telephone phone call fax mobile cell ring tél téléphone telefon teléfono".split()),
     "email": frozenset("mail email e-mail contact write reach".split()),
     "ip": frozenset("ip host server address addr".split()),
     "card": frozenset("card visa mastercard amex credit iban".split()),
@@ -107,12 +110,14 @@ _VALUE = re.compile(r"\S+")
 # What issued keys begin with.
 _ISSUED = re.compile(r"(?:AKIA|ASIA|AIza|gh[opsu]_|glpat-|sk[-_]|xox[abp]-|eyJ)[A-Za-z0-9]")
 _ISSUED_KEY = re.compile(rf"(?<![A-Za-z0-9]){_ISSUED.pattern}[A-Za-z0-9_.+/=-]{{14,}}(?<![.+/=-])")
+#: A span's kind depends on that of the span before it if so many tokens at most lie between.
+GAP = 3
 #: What a value that was announced and found to be a secret scores more than its parts: it is masked as one.
 _AS_ONE = 1000.0
 _SHAPES = (
     "bias", "digits0", "digits1_6", "digits7_9", "digits10_12", "digits13_15", "digits16_19", "digits20", "at_sign", "at_word", "dot_words", "dotted4", "dotted4_ok", "luhn",
     "plus", "paren", "separators_only", "plain_digits", "letters", "one_token", "long_token", "mixed_token", "hex_token", "upper_token", "bad_edge", "glued_left", "glued_right",
-    "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", "opened", "opened_whole", "opened_pass", "opened_word", "opened_long", "marked", "issued", "caps_word", *(f"cue_{k}" for k in _CUES),
+    "newline", "spaces", "group334", "group444", "tld", "iso_date", "short", "opened", "opened_whole", "opened_pass", "opened_word", "opened_long", "marked", "issued", "caps_word", "in_run", *(f"cue_{k}" for k in _CUES),
 )
 _DATE, _HEX, _DIGITS = re.compile(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}"), re.compile(r"[0-9a-f]+"), re.compile(r"[0-9]+")
 _AT_WORD, _DOT_WORDS = re.compile(r"\w[ \[({]+at[ \])}]+\w", re.I), re.compile(r"\w[ \[({]+dot[ \])}]+\w", re.I)
@@ -160,11 +165,12 @@ def _features(text: str, start: int, end: int, cues: list[str], opener: tuple[in
     left = start > 0 and (text[start - 1].isalnum() or text[start - 1] in "@_") and s[0].isalnum()
     right = end < len(text) and (text[end].isalnum() or text[end] == "@" or text[end] in ".-" and end + 1 < len(text) and text[end + 1].isalnum())
     told = opener is not None
-    return _row(s, left, right, tuple(cues), told, told and opener[0] == end, told and opener[1])
+    run = start > 1 and text[start - 1] == " " and text[start - 2].isdigit() or end + 1 < len(text) and text[end] == " " and text[end + 1].isdigit()
+    return _row(s, left, right, run, tuple(cues), told, told and opener[0] == end, told and opener[1])
 
 
 @lru_cache(maxsize=1 << 14)
-def _row(s: str, left: bool, right: bool, cues: tuple[str, ...], opened: bool, whole: bool, is_pass: bool) -> np.ndarray:
+def _row(s: str, left: bool, right: bool, run: bool, cues: tuple[str, ...], opened: bool, whole: bool, is_pass: bool) -> np.ndarray:
     n_digits = sum("0" <= c <= "9" for c in s)
     letters = any(c.isalpha() for c in s)
     one = s.isalnum()
@@ -184,6 +190,7 @@ def _row(s: str, left: bool, right: bool, cues: tuple[str, ...], opened: bool, w
         "bad_edge": not (s[0].isalnum() or s[0] in "+(") or not s[-1].isalnum(),
         "glued_left": left,
         "glued_right": right,
+        "in_run": run,
         "newline": "\n" in s,
         "spaces": s.count(" ") > 4,
         "iso_date": _DATE.match(s) is not None,
@@ -279,17 +286,25 @@ def _candidates(text: str, at: int, end: int, taken: list[tuple[int, int]], toke
                 yield i, j + 1, _features(text, start, opener[0], [w.lower() for w in _WORD.findall(text[max(0, start - 24) : start])[-2:]], opener)
 
 
-def _scored(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens: list[tuple[int, int]], weights: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-    """(first, last + 1, kind, score) of the candidates with a score over 0, by first token."""
+class Field(NamedTuple):
+    """Weights by (feature, kind), and by (kind of the span before, kind)."""
+
+    weights: np.ndarray
+    moves: np.ndarray
+
+
+def _scored(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens: list[tuple[int, int]], field: Field) -> Iterator[tuple[int, int, int, float]]:
+    """(first, last + 1, kind, score) of the candidates, by first token, without those that no segmentation gains from."""
     held: list[tuple[int, int, np.ndarray]] = []
+    # A span left out costs its score and the moves to and from it, and gives its neighbours the least move at worst.
+    most = np.maximum(field.moves.max(0), 0) + np.maximum(field.moves.max(1), 0) - min(0.0, float(field.moves.min()))
 
     def block():
-        scores = np.array([r for _, _, r in held]) @ weights
+        scores = np.array([r for _, _, r in held]) @ field.weights
         scores[:, KINDS.index("card")] = np.where([r[_AT["luhn"]] == 1 for _, _, r in held], scores[:, KINDS.index("card")], -np.inf)
         secret = KINDS.index("secret")
         scores[:, secret] += np.where([r[_AT["opened_whole"]] == 1 for _, _, r in held] & (scores[:, secret] > 0), _AS_ONE, 0.0)
-        kinds = scores.argmax(1)
-        found = [(i, j, int(k), float(row[k])) for (i, j, _), k, row in zip(held, kinds, scores, strict=True) if row[k] > 0]
+        found = [(*held[c][:2], int(k), float(scores[c, k])) for c, k in np.argwhere(scores + most > 0)]
         held.clear()
         return found
 
@@ -301,45 +316,57 @@ def _scored(text: str, at: int, end: int, taken: list[tuple[int, int]], tokens:
         yield from block()
 
 
-def _best(first: int, last: int, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
-    """The best segmentation of tokens first .. last - 1: (first, last + 1, kind); a token outside scores 0."""
-    by_end: dict[int, list[tuple[float, int, int]]] = {}
-    for i, j, k, score in spans:
-        by_end.setdefault(j, []).append((score, i, k))
-    best, back = [0.0] * (last - first + 1), [None] * (last - first + 1)
-    for j in range(first + 1, last + 1):
-        best[j - first] = best[j - first - 1]
-        for score, i, k in by_end.get(j, ()):
-            if best[i - first] + score > best[j - first]:
-                best[j - first], back[j - first] = best[i - first] + score, (i, k)
-    out, j = [], last
-    while j > first:
-        if back[j - first] is None:
-            j -= 1
-        else:
-            i, k = back[j - first]
-            out.append((i, j, k))
-            j = i
-    return out[::-1]
+def _decoded(spans: Iterator[tuple[int, int, int, float]], moves: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """The best segmentation, (first, last + 1, kind) each; a token outside scores 0.
 
+    Spans come by first token. For each end and kind the best way there is kept with its score; a
+    way that ended more than GAP tokens ago gives its successor no move. Ways share their beginnings.
+    """
+    step = None if moves is None else moves.tolist()
+    far: tuple[float, tuple | None] = (0.0, None)  # the best way whose last span lies further back
+    near: list[tuple[int, dict[int, tuple[float, tuple]]]] = []
+    ahead: list[int] = []
+    ends: dict[int, dict[int, tuple[float, tuple]]] = {}
+    at, best = -1, {}
 
-def _decoded(spans: Iterator[tuple[int, int, int, float]]) -> Iterator[tuple[int, int, int]]:
-    """The best segmentation by dynamic programming, piece by piece: a piece ends where no span crosses."""
-    held: list[tuple[int, int, int, float]] = []
-    reach = 0
-    for span in spans:
-        if held and span[0] >= reach:
-            yield from _best(held[0][0], reach, held)
-            held, reach = [], 0
-        held.append(span)
-        reach = max(reach, span[1])
-    if held:
-        yield from _best(held[0][0], reach, held)
+    def better(one, other):
+        return other if other[0] > one[0] else one
+
+    for i, j, k, score in spans:
+        if i != at:
+            at, best = i, {}
+            while ahead and ahead[0] <= i:
+                near.append((ahead[0], ends.pop(heappop(ahead))))
+            while near and near[0][0] < i - GAP:
+                for way in near.pop(0)[1].values():
+                    far = better(far, way)
+        if k not in best:
+            best[k] = far
+            for _, ways in near:
+                for before, (value, way) in ways.items():
+                    best[k] = better(best[k], (value + (step[before][k] if step else 0.0), way))
+        value, way = best[k]
+        if j not in ends:
+            ends[j] = {}
+            heappush(ahead, j)
+        if k not in ends[j] or ends[j][k][0] < value + score:
+            ends[j][k] = (value + score, ((i, j, k), way))
+    near += [(j, ends[j]) for j in sorted(ends)]
+    for _, ways in near:
+        for way in ways.values():
+            far = better(far, way)
+    out, way = [], far[1]
+    while way is not None:
+        out.append(way[0])
+        way = way[1]
+    return out[::-1]
 
 
 def examples(count: int = 320, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Generated lines with their spans: PII in several forms, and look-alikes without; then half
-    as many lines of announced secrets and of words that are none."""
+    as many lines of announced secrets and of words that are none; then half as many of two or three
+    spans in a row, of announced numbers as they are written within a country, and of such numbers
+    and columns of numbers that nothing announces."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
@@ -423,45 +450,89 @@ def examples(count: int = 320, seed: int = 7) -> list[tuple[str, list[tuple[str,
             line += pick(plain if k < count else unannounced)()
         line += pick(["", ".", ","]) + " " + words(int(rng.integers(1, 5)))
         out.append((line, spans))
+    announced = ["call ", "tel ", "tel. ", "Tel.: ", "phone: ", "Phone ", "fax: ", "mobile ", "tél : "]
+    national = [
+        lambda: "0" + digits(int(rng.integers(9, 11))),
+        lambda: f"{digits(3)}{pick(' -')}{digits(4)}",
+        lambda: f"0{digits(3)} {digits(2)} {digits(int(rng.integers(6, 8)))}",
+        lambda: f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+        lambda: f"0{digits(int(rng.integers(2, 5)))}{pick([' ', '-', '/'])}{digits(int(rng.integers(6, 8)))}",
+    ]
+    for k in range(count // 2):
+        line, spans = words(int(rng.integers(1, 5))) + " ", []
+        if k % 8 == 3:  # columns of numbers
+            wide, rows = [int(x) for x in rng.integers(1, 5, int(rng.integers(1, 3)))], int(rng.integers(8, 20))
+            line += " ".join(digits(w) for _ in range(rows) for w in wide)
+        elif k % 4 == 3:
+            line += pick(["", "no ", "order ", "item ", "lot "]) + pick([lambda: digits(int(rng.integers(7, 12))), lambda: f"{digits(3)} {digits(4)}", lambda: " ".join(digits(2) for _ in range(5))])()
+        else:
+            kinds = ["phone"] if k % 4 == 0 else [pick(["phone", "email", "card", "ip"])] * 2 if k % 4 == 1 else [pick(["email", "phone"]), "phone", "email"][: int(rng.integers(2, 4))]
+            for n, kind in enumerate(kinds):
+                if n:
+                    line += pick([", ", "; ", " / ", " or "])
+                elif k % 4 == 0:
+                    line += pick(announced)
+                piece = pick(national)() if k % 4 == 0 else makers[kind]()
+                spans.append((kind, len(line), len(line) + len(piece)))
+                line += piece
+            if rng.integers(2):  # what stands near a span need not be one
+                line += pick([", ", "; ", " / ", " or ", " on "]) + pick([*plain[:2], *plain[5:7], plain[14], plain[16]])()
+        line += pick(["", ".", ","]) + " " + words(int(rng.integers(1, 5)))
+        out.append((line, spans))
     return out
 
 
 @lru_cache(maxsize=2)
-def fit(count: int = 320, steps: int = 60, seed: int = 7) -> np.ndarray:
-    """Weights by (feature, kind): gradient ascent on the likelihood of the segmentations."""
-    data = []
-    for text, spans in examples(count, seed):
+def fit(count: int = 320, steps: int = 60, seed: int = 7) -> Field:
+    """Weights of the field: gradient ascent on the likelihood of the segmentations.
+
+    All lines go through the sums forward and backward at once, a token at a time.
+    """
+    where, rows, gold, pairs, n = [], [], [], np.zeros((len(KINDS), len(KINDS))), 0
+    for number, (text, spans) in enumerate(examples(count, seed)):
         tokens = [m.span() for m in _TOKEN.finditer(text)]
-        found = list(_candidates(text, 0, len(text), [], tokens))
-        cands, rows = [(i, j) for i, j, _ in found], np.array([r for _, _, r in found])
-        at = {(tokens[i][0], tokens[j - 1][1]): k for k, (i, j) in enumerate(cands)}
-        gold = [(at[(a, b)], KINDS.index(kind)) for kind, a, b in spans if (a, b) in at]
-        data.append((len(tokens), cands, rows, gold))
-    weights, memory = np.zeros((len(_SHAPES), len(KINDS))), np.full((len(_SHAPES), len(KINDS)), 1e-6)
+        known = {(a, b): KINDS.index(kind) for kind, a, b in spans}
+        told = []
+        for i, j, row in _candidates(text, 0, len(text), [], tokens):
+            kind = known.get((tokens[i][0], tokens[j - 1][1]))
+            where.append((number, i, j))
+            rows.append(row)
+            gold.append(np.eye(len(KINDS))[kind] if kind is not None else np.zeros(len(KINDS)))
+            told += [(i, j, kind)] if kind is not None else []
+        for (_, end, one), (first, _, two) in zip(told, told[1:], strict=False):
+            pairs[one, two] += first - end <= GAP
+        n = max(n, len(tokens))
+    (line, first, last), rows, gold = np.array(where).T, np.array(rows), np.array(gold)
+    lines, by_first = number + 1, [np.flatnonzero(first == i) for i in range(n)]
+    shapes = [(len(_SHAPES), len(KINDS)), (len(KINDS), len(KINDS))]
+    values, memory = [np.zeros(x) for x in shapes], [np.full(x, 1e-6) for x in shapes]
     for _ in range(steps):
-        slope = -0.02 * weights
-        for n, cands, rows, gold in data:
-            if not cands:
-                continue
-            scores = rows @ weights
-            summed = np.logaddexp.reduce(scores, axis=1)
-            by_end, by_start = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-            for k, (i, j) in enumerate(cands):
-                by_end[j].append((i, summed[k]))
-                by_start[i].append((j, summed[k]))
-            ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
-            for j in range(1, n + 1):
-                ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[i] + s for i, s in by_end[j])]) if by_end[j] else ahead[j - 1]
-            for i in range(n - 1, -1, -1):
-                behind[i] = np.logaddexp.reduce([behind[i + 1], *(behind[j] + s for j, s in by_start[i])]) if by_start[i] else behind[i + 1]
-            first, last = np.array(cands).T
-            share = np.exp(ahead[first][:, None] + scores + behind[last][:, None] - ahead[n])
-            for k, kind in gold:
-                share[k, kind] -= 1
-            slope -= rows.T @ share
-        memory += slope**2
-        weights += 0.6 * slope / np.sqrt(memory)
-    return weights
+        odds, move = np.exp(rows @ values[0]), np.exp(values[1])
+        # Sums over the segmentations: of what ends at a token (by kind), of all before it, and of those that a span at it goes on from.
+        ended, before, start = np.zeros((lines, n + 1, len(KINDS))), np.ones((lines, n + 1)), np.zeros((lines, n + 1, len(KINDS)))
+        for i in range(n + 1):
+            if i:
+                before[:, i] = before[:, i - 1] + ended[:, i].sum(1)
+            start[:, i] = (before[:, i - GAP - 1] if i > GAP else np.ones(lines))[:, None] + ended[:, max(0, i - GAP) : i + 1].sum(1) @ move
+            if i < n:
+                c = by_first[i]
+                np.add.at(ended, (line[c], last[c]), start[line[c], i] * odds[c])
+        # And of what follows an end of a kind, or begins at a token or later.
+        rest, after, begun = np.ones((lines, n + GAP + 2)), np.ones((lines, n + 1, len(KINDS))), np.zeros((lines, n + GAP + 2, len(KINDS)))
+        for i in range(n, -1, -1):
+            if i < n:
+                c = by_first[i]
+                np.add.at(begun, (line[c], i), odds[c] * after[line[c], last[c]])
+            rest[:, i] = rest[:, i + 1 if i < n else i] + begun[:, i].sum(1)
+            after[:, i] = rest[:, i + GAP + 1][:, None] + begun[:, i : i + GAP + 1].sum(1) @ move.T
+        whole = before[:, n]
+        share = start[line, first] * odds * after[line, last] / whole[line][:, None]
+        passed = sum((ended[:, : n + 1 - a] / whole[:, None, None]).reshape(-1, len(KINDS)).T @ begun[:, a : n + 1].reshape(-1, len(KINDS)) for a in range(GAP + 1)) * move
+        for k, slope in enumerate((rows.T @ (gold - share), pairs - passed)):
+            slope -= 0.02 * values[k]
+            memory[k] += slope**2
+            values[k] += 0.6 * slope / np.sqrt(memory[k])
+    return Field(*values)
 
 
 def _regions(text: str) -> list[tuple[int, int]]:
@@ -509,7 +580,7 @@ def _cuts(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
         at = stop
 
 
-def find_spans(text: str | None, weights: np.ndarray) -> tuple[list, list]:
+def find_spans(text: str | None, field: Field) -> tuple[list, list]:
     """The patterns' spans, and all spans: each (kind, start, end), by kind and start."""
     if not text:
         return [], []
@@ -522,7 +593,7 @@ def find_spans(text: str | None, weights: np.ndarray) -> tuple[list, list]:
         near = list(takewhile(lambda x: x[0] < end, islice(taken, done, None)))
         for a, b in _cuts(text, at, end):
             tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-            added += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _decoded(_scored(text, a, b, near, tokens, weights))]
+            added += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _decoded(_scored(text, a, b, near, tokens, field), field.moves)]
     order = {k: n for n, k in enumerate(KINDS)}
     return base, sorted({*base, *added}, key=lambda s: (order[s[0]], s[1], s[2]))
 
@@ -541,14 +612,14 @@ _JOIN = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)  # noqa: E73
 SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, masked string"
 
 
-def _scan(weights: np.ndarray, with_text: bool):
+def _scan(field: Field, with_text: bool):
     names = [x.split()[0] for x in SPANS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(8)]
             for text in batch.column("text").to_pylist():
-                base, spans = find_spans(text, weights)
+                base, spans = find_spans(text, field)
                 for c, kind in zip(columns, BASE_KINDS, strict=False):
                     c.append(sum(k == kind for k, _, _ in base))
                 columns[4].append(hashlib.sha256(_JOIN(base).encode()).hexdigest())
@@ -569,11 +640,11 @@ def find_pii(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """docs with the spans of every text masked and n_chars (where present) counted again."""
-    weights, at = fit(), docs.columns.index("text")
+    field, at = fit(), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else masked(t, find_spans(t, weights)[1]) for t in batch.column(at).to_pylist()]
+            texts = [None if t is None else masked(t, find_spans(t, field)[1]) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
