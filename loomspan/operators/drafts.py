@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomspan import schemas
 from loomspan.functions.text import squeezed
-from loomspan.operators import ranks
+from loomspan.operators import matching, ranks
+from loomspan.operators.rules import LanguagePack, Policy, Rule
 
 #: What a draft says where no rule matched its text; a language pack may give other words.
 TEMPLATE = {
@@ -19,6 +20,15 @@ TEMPLATE = {
     "risk_reason": "Say which context has to stand beside the expression.",
     "false_positive_note": "Look for quotation, teaching, criticism and neutral information.",
 }
+#: Where no rule matched: (expression over the squeezed text and description, category, domain); the first counts.
+CASCADE = (
+    (r"sentence|dismiss|lawsuit|court|legal", "professional services", "legal"),
+    (r"location|track|personal data|surveil", "privacy", "privacy"),
+    (r"cure|treat|medic|disease", "health", "health"),
+    (r"profit|invest|principal", "finance", "finance"),
+    (r"admission|grades|exam", "education", "education"),
+)
+OTHERWISE = ("reputation", "campaign")
 SEVERITY_FLOOR, CONFIDENCE, MAX_DISTANCE, PREVIEW_ROWS = 55.0, 0.45, 48, 50
 _NAMES = [part.split()[0] for part in schemas.RULE.replace(schemas.CONDITIONS, "x").replace(schemas.SOURCE, "x").split(", ")]
 
@@ -29,11 +39,36 @@ def edge_words(text: Column) -> Column:
     return F.when(F.size(words) >= 2, F.array(F.element_at(words, 1), F.element_at(words, -1)))
 
 
+def inferred(text: Column, cascade=CASCADE, otherwise: tuple[str, str] = OTHERWISE) -> Column:
+    """struct<category, domain> of the first expression that the squeezed text holds; a null text holds none."""
+    both = lambda category, domain: F.struct(F.lit(category).alias("category"), F.lit(domain).alias("domain"))
+    plain, out = squeezed(F.coalesce(text, F.lit(""))), both(*otherwise)
+    for pattern, category, domain in reversed(cascade):
+        out = F.when(plain.rlike(pattern), both(category, domain)).otherwise(out)
+    return out
+
+
+def interpreted(cases: DataFrame, rules: list[Rule], book: DataFrame, policy: Policy | None = None, pack: LanguagePack | None = None, cascade=CASCADE, otherwise: tuple[str, str] = OTHERWISE) -> DataFrame:
+    """A draft rule for each case from the engine's reading of its text.
+
+    cases: text, description, domain, occurred_at, source_url, memo and at; other columns are ignored.
+    rules is what the engine judges by, drafts among it too, and book their table (``schemas.RULE``). A
+    case whose text a rule matches gets a copy of the best one; of others category and domain are
+    inferred from text and description, and the first and last word stand for trigger and context.
+    """
+    names = ("text", "description", "domain", "occurred_at", "source_url", "memo", "at")
+    judged = matching.analyze(cases.select(*names), rules, policy, pack, drafts=True)
+    told = inferred(F.concat_ws(" ", "text", "description"), cascade, otherwise)
+    rows = judged.select(*names, F.get("matches", F.lit(0))["rule_id"].alias("matched_id"), told.alias("_told"))
+    own = F.coalesce(F.nullif(F.trim("domain"), F.lit("")), F.col("_told.domain"))
+    return drafts(rows.withColumns({"domain": own, "category": F.col("_told.category")}).drop("_told"), book)
+
+
 def drafts(cases: DataFrame, book: DataFrame) -> DataFrame:
     """A draft rule (``schemas.RULE``) for each case: a copy of the rule it matched, else the template.
 
     cases: text, description, domain, occurred_at, source_url, memo, matched_id (null for
-    none) and at, the time that names the draft. Null texts count as empty.
+    none) and at, the time that names the draft; a column category is the template's. Null texts count as empty.
     """
     filled = lambda c, other: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(other))
     had = book.select(F.col("id").alias("matched_id"), F.struct(*_NAMES).alias("_rule"))
@@ -42,7 +77,8 @@ def drafts(cases: DataFrame, book: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     whole = F.filter(F.array(F.trim("_text")), lambda x: x != "")
     group = lambda name, k, other: F.struct(F.lit(name).alias("group_id"), F.when(F.col("_edge").isNotNull(), F.array(F.get("_edge", F.lit(k)))).otherwise(other).alias("any_of"))
-    template = {name: F.lit(text) for name, text in TEMPLATE.items()} | {
+    category = {"category": filled("category", TEMPLATE["category"])} if "category" in cases.columns else {}
+    template = {name: F.lit(text) for name, text in TEMPLATE.items()} | category | {
         "schema_version": F.lit(schemas.RULE_VERSION),
         "conditions": F.struct(F.array(group("trigger", 0, whole), group("context", 1, F.array("_domain"))).alias("all_of"), none.alias("any_of"), none.alias("none_of"), F.lit("sentence").alias("scope"), F.lit(MAX_DISTANCE).alias("max_distance")),
         "social_context": filled("description", ""), "severity_floor": F.lit(SEVERITY_FLOOR), "dominant_risk": F.lit(False), "confidence": F.lit(CONFIDENCE), "risk_domain": F.col("_domain"), "recent_context_tags": F.array(F.lit("to review")), "safe_rewrite": none,

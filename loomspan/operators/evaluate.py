@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions.text import SPACE, squeezed_nfkc
 from loomspan.operators.ranks import first_rows, nearest_rank as nearest_rank
 
 DOMAINS = ("health", "finance", "education", "legal", "privacy", "general")
@@ -154,6 +157,43 @@ def table_profile(frame: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+# What the names of columns tell of a table.
+PROFILES = (("matching_type", "hate_speech"), ("어원/원단어", "controversy"), ("root_word", "false_advertising"), ("원단어", "false_advertising"))
+CATEGORY_NAMES, ROOT_NAMES = r"(?i)category|분류", r"(?i)root_word|어원/원단어|원단어"
+PREVIEW = 50
+
+
+def csv_rows(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """(cells, valid, key, root, category) of rows of cells: valid ones are as wide as the headers and not all blank.
+
+    key and root are normalised, a category is trimmed alone; roots and categories of invalid rows are null,
+    as are blank ones, and all of them where no header names such a column.
+    """
+    place = lambda pattern: next((k for k, h in enumerate(headers) if re.search(pattern, h)), None)
+    bare = lambda c: F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    cells = rows.select("cells").withColumn("valid", (F.size("cells") == len(headers)) & F.exists("cells", lambda c: bare(F.coalesce(c, F.lit(""))) != ""))
+    cell = lambda at: F.lit(None).cast("string") if at is None else F.when(F.col("valid"), F.nullif(bare(F.get("cells", F.lit(at))), F.lit("")))
+    filled = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
+    named = cells.withColumns({"key": squeezed_nfkc(F.array_join(filled, "\u241f")), "root": squeezed_nfkc(cell(place(ROOT_NAMES))), "category": cell(place(CATEGORY_NAMES))})
+    # Spaces beside a cell's border do not count.
+    return named.withColumn("key", F.when(F.col("valid"), F.sha2(F.regexp_replace("key", " ?\u241f ?", "\u241f"), 256)))
+
+
+def csv_summary(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """One row: profile, total, valid, invalid, duplicates, unique_roots, preview of a table of cells under headers."""
+    headers = [h.strip() for h in headers]
+    joined = "|".join(headers).lower()
+    profile = next((name for part, name in PROFILES if part in joined), "generic")
+    n = F.count_if("valid")
+    one = csv_rows(rows, headers).agg(F.count("*").alias("total"), n.alias("valid"), (F.count("*") - n).alias("invalid"), (n - F.count_distinct("key")).alias("duplicates"), F.count_distinct("root").alias("unique_roots"))
+    return one.select(F.lit(profile).alias("profile"), "*", F.least("valid", F.lit(PREVIEW)).alias("preview"))
+
+
+def csv_categories(rows: DataFrame, headers: list[str]) -> DataFrame:
+    """(name, n) of the categories of valid rows; a report orders them by count, then name."""
+    return csv_rows(rows, [h.strip() for h in headers]).where("category IS NOT NULL").groupBy(F.col("category").alias("name")).agg(F.count("*").alias("n"))
+
+
 def facet(frame: DataFrame, column: str) -> DataFrame:
     return frame.groupBy(F.trim(column).alias("name")).agg(F.count("*").alias("n")).where("name <> ''")
 

@@ -152,6 +152,19 @@ def source_index(rules: DataFrame) -> DataFrame:
     return rules.where("review_status = 'reviewed'").select("id", F.coalesce("source.source_id", F.lit("")).alias("source_id"), "source.title", "source.url", "source.date", F.coalesce("source.provenance_status", F.lit("provided")).alias("provenance_status"))
 
 
+def effective_patterns(rules: DataFrame, variants: DataFrame) -> DataFrame:
+    """(id, role, patterns) of a book's triggers and contexts: a rule's own, then its type's variants, each once.
+
+    rules: id, pattern_type, trigger and context (arrays); variants: pattern_type, role, pattern. Variants are
+    gathered by type first, so a type of many rules meets one row; nulls and empty patterns are left out.
+    """
+    own = rules.select("id", "pattern_type", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.coalesce(r, F.array().cast("array<string>")).alias("own")) for r in ("trigger", "context")))).alias("x")).select("id", "pattern_type", "x.*")
+    added = variants.where("pattern <> ''").groupBy("pattern_type", "role").agg(F.array_sort(F.collect_set("pattern")).alias("added"))
+    both = own.join(added, ["pattern_type", "role"], "left")
+    every = F.array_distinct(F.concat("own", F.coalesce("added", F.array().cast("array<string>"))))
+    return both.select("id", "role", F.filter(every, lambda p: F.coalesce(p != "", F.lit(False))).alias("patterns"))
+
+
 def rules_jsonl(rules: DataFrame, drafts: bool = False) -> DataFrame:
     """One JSON line (value) for each valid rule, by id; drafts too if asked."""
     names = StructType.fromDDL(schemas.RULE).fieldNames() if hasattr(StructType, "fromDDL") else rules.columns

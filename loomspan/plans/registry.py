@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.operators import evaluate, interpreter, matching, privacy
 from loomspan.operators.rules import DEMO_PACK, DEMO_RULES, Policy
-from loomspan.plans import book_queries, data_queries
+from loomspan.plans import book_queries, data_queries, review_queries
 from loomspan.plans import matching_sql as S
 from loomspan.sources.tables import table
 
@@ -147,7 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "engine_eval": engine_eval,
         "engine_hybrid": engine_hybrid,
     }
-    return own | data_queries.queries() | book_queries.queries()
+    return own | data_queries.queries() | book_queries.queries() | review_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -173,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT doc_id, len({found('text')})::BIGINT AS n_ranges,
        array_to_string(list_transform(range(1, len(string_split({mask('text')}, chr(2))) + 1), lambda i: string_split({mask('text')}, chr(2))[i] || repeat('●', coalesce(length({found('text')}[i]), 0)::INT)), '') AS masked
 FROM documents""",
-    } | data_queries.oracle_sql() | book_queries.oracle_sql()
+    } | data_queries.oracle_sql() | book_queries.oracle_sql() | review_queries.oracle_sql()
 
 
 def _advice_sql() -> str:

@@ -194,8 +194,22 @@ def read_policy(spark: SparkSession, path: str) -> tuple[Policy, list[str]]:
 
 
 def write_csv(frame: DataFrame, path: str, quote_all: bool = False) -> None:
-    """Cells quoted where needed; arrays and structs must be joined to strings before."""
-    frame.write.mode("error").csv(path, header=True, escape='"', quoteAll=quote_all, emptyValue="")
+    """Cells quoted where needed, with the white space they have; arrays and structs must be joined to strings before."""
+    frame.write.mode("error").csv(path, header=True, escape='"', quoteAll=quote_all, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_crlf_csv(frame: DataFrame, path: str) -> None:
+    """CSV whose lines end in CR and LF, each file with the header; cells are quoted only for a comma,
+    a quote or a line break, and keep their own line breaks. Nulls are empty."""
+    quoted = lambda c: F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = lambda cells: F.concat_ws(",", *(quoted(c) for c in cells))
+    header = line([F.lit(c) for c in frame.columns])
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its file, as a task writes one
+    row = line([F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in frame.columns])
+    lines = frame.select(F.when(first, F.concat(header, F.lit("\r\n"), row)).otherwise(row).alias("value"))
+    if frame.isEmpty():
+        lines = frame.sparkSession.range(0, 1, 1, 1).select(header.alias("value"))
+    lines.write.mode("error").text(path, lineSep="\r\n")
 
 
 def write_lines(frame: DataFrame, path: str) -> None:
