@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import fresh, table, uniform
+from loomspan.llm.common import fresh, table
 
 UNKNOWN = "und"
 DIMS = 1024
 GRAM = 3
-#: At most about so many texts of each language are learned from.
-LEARN_PER_LANG = 2000
 #: So many languages at most are learned, the most frequent ones, as their profiles are sent to every task.
 MAX_LANGS = 1000
 #: A text of this cosine is never unlike its language, whatever its length.
@@ -37,6 +35,8 @@ MOST_BOUND = 0.2
 LEAST_SEEN = 50
 _SEED = 20240611
 _BLOCK_DOCS, _BLOCK_GRAMS = 128, 1 << 21
+#: So many rows of a batch have their vectors in memory at a time.
+_SLICE = 1024
 _SCALE = 1 << 24
 
 
@@ -110,23 +110,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def learn(docs: DataFrame, dims: int = DIMS, per_lang: int = LEARN_PER_LANG, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
-    """Languages and their profiles, from labelled documents that are not held out.
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(at, _SLICE)
 
-    A bounded sample is learned from: about per_lang texts of each language, chosen by a hash
-    of doc_id. The partial sums are whole numbers, so their order does not matter.
+
+def learn(docs: DataFrame, dims: int = DIMS, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
+    """Languages and their profiles, from all labelled documents that are not held out.
+
+    The partial sums are whole numbers, so their order does not matter.
     """
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
     if not counts:
         return [], np.zeros((0, dims), np.float32)
     langs = sorted(counts)
-    share = F.create_map(*(x for c in langs for x in (F.lit(c), F.lit(min(1.0, per_lang / counts[c])))))
-    sample = labelled.where(uniform("doc_id", "langid") < share[F.col("lang")])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             vectors = _unit_vectors(batch.column("text").to_pylist(), dims)
             names = np.array(batch.column("lang").to_pylist(), dtype=object)
             for name in set(names):
@@ -134,7 +137,7 @@ def learn(docs: DataFrame, dims: int = DIMS, per_lang: int = LEARN_PER_LANG, max
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "part"])
 
-    parts = sample.select("lang", "text").mapInArrow(partial, "lang string, part array<long>")
+    parts = labelled.where(F.col("lang").isin(*langs)).select("lang", "text").mapInArrow(partial, "lang string, part array<long>")
     sums = parts.select("lang", F.posexplode("part").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x"))
     profiles = np.zeros((len(langs), dims))
     for r in sums.collect():  # languages times dims, whatever the size of the corpus
@@ -143,22 +146,19 @@ def learn(docs: DataFrame, dims: int = DIMS, per_lang: int = LEARN_PER_LANG, max
     return langs, (profiles / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def least_scores(docs: DataFrame, langs: list[str], profiles: np.ndarray, per_lang: int = LEARN_PER_LANG) -> dict[str, dict[int, float]]:
+def least_scores(docs: DataFrame, langs: list[str], profiles: np.ndarray) -> dict[str, dict[int, float]]:
     """By language and class of lengths, the score below which a text is like no learned language.
 
     A class is a power of two of unlike n-grams. Its bound is half of what 99 in 100 held-out
     labelled documents of that language and class reach, so script and length set it, and
     MOST_BOUND at most; a class where unrelated texts reach that too (three deviations of the
-    cosine of random vectors), or with few such documents, has none. A bounded sample is scored:
-    about per_lang texts a language.
+    cosine of random vectors), or with few such documents, has none. All of these documents are
+    scored; their scores are counted in steps of 0.00001, so a class has a bounded number of rows.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").where(F.col("lang").isin(*langs) & F.col("text").isNotNull() & held_out(F.col("doc_id"))) if langs else docs.limit(0)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()} if langs else {}
-    if not counts:
-        return {}
-    share = F.create_map(*(x for c, n in counts.items() for x in (F.lit(c), F.lit(min(1.0, per_lang / n)))))
-    scored = predict(known.where(uniform("doc_id", "langid fit") < share[F.col("lang")]), langs, profiles, ("lang",), sized=True).where("lang = lang_pred")
-    classes = scored.groupBy("lang", F.floor(F.log2("n_grams")).cast("int").alias("class")).agg(F.count("*").alias("n"), F.expr("percentile(score, 0.01)").alias("low"))
+    scored = predict(known, langs, profiles, ("lang",), sized=True).where("lang = lang_pred")
+    steps = scored.groupBy("lang", F.floor(F.log2("n_grams")).cast("int").alias("class"), F.round("score", 5).alias("score")).agg(F.count("*").alias("n"))
+    classes = steps.groupBy("lang", "class").agg(F.sum("n").alias("n"), F.expr("percentile(score, 0.01, n)").alias("low"))
     least: dict[str, dict[int, float]] = {}
     for r in classes.collect():  # languages times at most 40 classes
         if r["n"] >= LEAST_SEEN and r["low"] / 2 >= 3 / profiles.shape[1] ** 0.5:
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, langs: list[str], profiles: np.ndarray, keep: tuple
     more = [("n_grams", "long")] * sized + [("fits", "boolean")] * (least is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes = np.zeros(batch.num_rows, np.int64)
             vectors = _unit_vectors(batch.column(batch.num_columns - 1).to_pylist(), profiles.shape[1], sizes)
             best, score = np.full(len(vectors), len(langs)), np.zeros(len(vectors))
