@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan import schemas
-from loomspan.functions.text import squeezed
+from loomspan.functions.text import let, squeezed
 from loomspan.operators import matching, ranks
 from loomspan.operators.rules import LanguagePack, Policy, Rule
 
@@ -36,16 +36,21 @@ _NAMES = [part.split()[0] for part in schemas.RULE.replace(schemas.CONDITIONS, "
 def edge_words(text: Column) -> Column:
     """The first and last of the levelled text's words of two characters or more; null for fewer than two."""
     words = F.filter(F.split(squeezed(text), r"[^\p{L}\p{N}%·.]+"), lambda w: F.length(w) >= 2)
-    return F.when(F.size(words) >= 2, F.array(F.element_at(words, 1), F.element_at(words, -1)))
+    return let(words, lambda ws: F.when(F.size(ws) >= 2, F.array(F.element_at(ws, 1), F.element_at(ws, -1))))
 
 
 def inferred(text: Column, cascade=CASCADE, otherwise: tuple[str, str] = OTHERWISE) -> Column:
     """struct<category, domain> of the first expression that the squeezed text holds; a null text holds none."""
     both = lambda category, domain: F.struct(F.lit(category).alias("category"), F.lit(domain).alias("domain"))
-    plain, out = squeezed(F.coalesce(text, F.lit(""))), both(*otherwise)
-    for pattern, category, domain in reversed(cascade):
-        out = F.when(plain.rlike(pattern), both(category, domain)).otherwise(out)
-    return out
+
+    def first(plain: Column) -> Column:
+        out = both(*otherwise)
+        for pattern, category, domain in reversed(cascade):
+            out = F.when(plain.rlike(pattern), both(category, domain)).otherwise(out)
+        return out
+
+    # The form is taken once, not for each expression.
+    return let(squeezed(F.coalesce(text, F.lit(""))), first)
 
 
 def interpreted(cases: DataFrame, rules: list[Rule], book: DataFrame, policy: Policy | None = None, pack: LanguagePack | None = None, cascade=CASCADE, otherwise: tuple[str, str] = OTHERWISE) -> DataFrame:
@@ -61,7 +66,8 @@ def interpreted(cases: DataFrame, rules: list[Rule], book: DataFrame, policy: Po
     told = inferred(F.concat_ws(" ", "text", "description"), cascade, otherwise)
     rows = judged.select(*names, F.get("matches", F.lit(0))["rule_id"].alias("matched_id"), told.alias("_told"))
     own = F.coalesce(F.nullif(F.trim("domain"), F.lit("")), F.col("_told.domain"))
-    return drafts(rows.withColumns({"domain": own, "category": F.col("_told.category")}).drop("_told"), book)
+    # The table has as many rows as the list of rules: sent to the texts, it needs no task for all that match nothing.
+    return drafts(rows.withColumns({"domain": own, "category": F.col("_told.category")}).drop("_told"), F.broadcast(book))
 
 
 def drafts(cases: DataFrame, book: DataFrame) -> DataFrame:
