@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.operators import matching
+from loomspan.operators import matching, privacy
 from loomspan.operators.rules import DEMO_PACK, DEMO_RULES, usable
 
 
@@ -46,3 +46,10 @@ def test_places_and_bare_amounts_of_changed_texts(spark):
     rows = [(1, "①x and this."), (2, "and this."), (3, "and this, que 12."), (4, "①x and this, que 12."), (5, "and this, que 12, free.")]
     got = matching.find_matches(spark.createDataFrame(rows, "k int, text string"), DEMO_RULES, DEMO_PACK).select("k", F.explode("matches").alias("m")).where("m.rule_id = 'risk_and_this'").select("k", "m.t_start", "m.t_end", "m.c_start", "m.c_end").collect()
     assert sorted(map(tuple, got)) == [(1, 3, 6, 7, 11), (2, 0, 3, 4, 8), (5, 0, 3, 4, 8)]
+
+
+def test_quotes_are_resolved_in_slices(spark):
+    texts, quotes = pa.array(["ab a", None, "b"] * 300), pa.array([["a", "b"], ["a"], None] * 300)
+    out = list(privacy.resolved_quotes.func(iter([(texts, quotes)])))
+    assert len(out) > 1 and max(map(len, out)) <= T.SLICE
+    assert [x for part in out for x in part.to_pylist()][:3] == [[{"start": 0, "end": 1}, {"start": 1, "end": 2}], None, None]
