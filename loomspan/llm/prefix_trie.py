@@ -17,7 +17,7 @@ no task: the least member of each salted slice first, then the least of these. M
 a node are joined to text in runs of conv_id, and the runs streamed in order through the digest.
 
 A conversation is one task's, streamed; its turns are hashed before they are moved, so no text
-is shuffled.
+is shuffled. ``spliced`` reads the texts once, few rows at a time, and writes what it numbers.
 
 Defined cases: a null role or text is empty; rows of a null conv_id take no part; turns go by
 their number, null first, and rows of one number by a digest of role and text, repeats included;
@@ -29,15 +29,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import join_copies, slices, table, written
+from loomspan.llm.common import join_copies, slices, written
 
 #: Ids of members that end at a node are joined in runs of 2**RUN_BITS numbers.
 RUN_BITS = 12
+#: So many rows at most are in a batch of Spark's Parquet reader where texts are read: 4096 long ones are GB.
+READ_ROWS = 256
 _PATHS = "conv_id long, depth long, node binary, tokens long, ends boolean"
 _EMIT = 8192
 
@@ -163,18 +166,37 @@ def prefix_trie(steps: DataFrame, members: DataFrame | None = None) -> DataFrame
     )
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = READ_ROWS) -> Iterator[None]:
+    """Within it, Spark's Parquet reader takes at most so many rows at once."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spliced(steps: DataFrame, group: int = 5, most: int = 9) -> DataFrame:
-    """steps of conversations that begin alike: c takes the first h turns of c - c % group in place of its own, h being crc32(c) % most."""
+    """steps of conversations that begin alike: c takes the first h turns of c - c % group in place of its own, h being crc32(c) % most.
+
+    The numbered steps are written, as they are used several times: each scan of a table's texts
+    would hold a row group of them in memory, and several ran in an executor at once.
+    """
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
-    placed = steps.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "step")).cast("long").alias("turn"), "step", "tokens")
-    convs = steps.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % group).alias("head"), h.alias("h"))
+    numbered = steps.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "step")).cast("long").alias("turn"), "step", "tokens")
+    with small_batches(steps.sparkSession):
+        placed = written(numbered, "placed")
+    convs = placed.where("turn = 1").select("conv_id", (F.col("conv_id") - F.col("conv_id") % group).alias("head"), h.alias("h"))
     heads = placed.where((F.col("turn") < most) & (F.col("conv_id") % group == 0)).withColumnRenamed("conv_id", "head")
     shared = convs.join(heads, "head").where(F.col("turn") <= F.col("h"))
     return shared.select("conv_id", "turn", "step", "tokens").unionByName(placed.where(F.col("turn") > h))
 
 
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
-    steps = steps_of(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    # Read as it lies: dealing a table of few splits over the cores would shuffle its texts.
+    steps = steps_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie(spliced(steps), steps.select("conv_id"))
 
 
